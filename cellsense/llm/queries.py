@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality_rules, sharding
+from . import jaccard_join, mixing, packing, pii, quality_rules, sharding
 
 #: Key of the pseudonyms; a deployment passes its own secret.
 PII_KEY = "cellsense-demo-key"
@@ -37,9 +36,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), 90, 3).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op5_pii, op6_quality_rules, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op5_pii, op6_quality_rules, op7_jaccard_join, op9_mixing)}
 ORACLES: dict[str, str] = {}
