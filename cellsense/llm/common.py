@@ -104,9 +104,9 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.pmod(F.coalesce(F.crc32(col.cast("string").cast("binary")), F.lit(0)), F.lit(n))
 
 
-def bounded_labels(labels: DataFrame, label: str, per_class: int, where: Column) -> DataFrame:
-    """At most ``per_class`` labelled ids of each class, by the hash of the id: (doc_id, label). Bounded, so it may be broadcast."""
+def bounded_labels(labels: DataFrame, label: str, per_class: tuple[int, int], where: Column) -> DataFrame:
+    """At most ``per_class`` labelled ids of class 0 and of class 1, by the hash of the id: (doc_id, label). Bounded, so it may be broadcast."""
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & where).select("doc_id", F.col(label).cast("int").alias("label"))
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
-    pick = lambda v: rows.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    pick = lambda v: rows.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[v])
     return pick(0).unionByName(pick(1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, mixing, packing, pii, quality_rules, sharding
+from . import embedding_dedup, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, sharding, toxicity, url_filters
 
 #: Key of the pseudonyms; a deployment passes its own secret.
 PII_KEY = "cellsense-demo-key"
@@ -28,6 +28,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.classify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text")
 
@@ -40,9 +48,17 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), 90, 3).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op5_pii, op6_quality_rules, op7_jaccard_join, op9_mixing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_quality_classifier, op4_url_filters, op5_pii, op6_quality_rules, op7_jaccard_join, op8_embedding_dedup, op9_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
