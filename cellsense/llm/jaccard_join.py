@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, release, written
@@ -270,30 +270,41 @@ def links(docs: DataFrame, marked: DataFrame, member: DataFrame, percent: int, w
     return pairs.groupBy("family", "p", "q").applyInArrow(_verify(percent, width), "a long, b long")
 
 
-def join(docs: DataFrame, percent: int = 90, width: int = 3, ranges: int | None = None) -> DataFrame:
-    """(doc_id, th, n_shingles, cid, component_id) of every document; linked when 100 x intersection >= percent x union."""
+def resolved(docs: DataFrame, percent: int, width: int, ranges: int | None = None) -> DataFrame:
+    """(doc_id, th, n, cid, root) of every document; documents of one component share the root."""
     docs = docs.select("doc_id", "text")
     marked = written(prefixes(docs, percent, width, ranges))
     release(docs.sparkSession)
     member = cut(families(marked))
     roots = components(links(docs, marked, member, percent, width))
-    named = marked.select("doc_id", "th", "n", "cid").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "root").select("doc_id", "th", F.col("n").alias("n_shingles"), "cid", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out
+    named = marked.select("doc_id", "th", "n", "cid").join(roots, F.col("cid") == F.col("node"), "left")
+    return named.select("doc_id", "th", "n", "cid", F.coalesce("root", "cid").alias("root"))
+
+
+def join(docs: DataFrame, percent: int = 90, width: int = 3, ranges: int | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; linked when 100 x intersection >= percent x union."""
+    named = resolved(docs, percent, width, ranges)
+    least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
+    out = named.join(least, "root")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def distinct(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
-    """The documents, same columns, with one row of each component: the one with the smallest id (repeated rows: one of them).
+def distinct(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """The documents, same columns, with one row of each component: that of the smallest id (of repeated rows, one).
 
-    Documents without words are linked with nothing and all stay.
+    Documents without words are linked with nothing and all stay. Only what has to go is sent to the documents: by
+    broadcast up to BROADCAST_ROWS rows (16 bytes each), else by a shuffle.
     """
-    found = join(docs, percent, width)
-    # one row of each component by (id, hash of the text), kept as a count so that repeated rows can be told apart
-    first = found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("cid")).alias("lone")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("_id"), "th")).alias("x"))
-    keep = cut(first.select("x._id", F.col("x.th").alias("_th")).distinct().unionByName(found.where("n_shingles = 0").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("th").alias("_th")).distinct()))
-    names = docs.columns
-    tagged = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_th", F.xxhash64("text")).join(keep, ["_id", "_th"])
-    blank = F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
-    turn = Window.partitionBy("_id", "_th").orderBy(F.xxhash64(*[c for c in names]))
-    return tagged.withColumn("_turn", F.row_number().over(turn)).where(blank | (F.col("_turn") == 1)).select(*names)
+    key = [F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("th").alias("_th")]
+    found = cut(resolved(docs, percent, width).where("n > 0").select("root", *key).groupBy("root", "_null", "_id", "_th").agg(F.count(F.lit(1)).alias("copies")))
+    first = found.groupBy("root").agg(F.min(F.struct("_null", "_id", "_th")).alias("x"))
+    marked = cut(found.join(first, "root").withColumn("stays", F.struct("_null", "_id", "_th") == F.col("x")).where("not stays or copies > 1").select("_null", "_id", "_th", "stays"))
+    rows = marked.count()
+    side = F.broadcast(marked) if rows <= BROADCAST_ROWS else marked
+    id_ = F.col("doc_id").cast("long")
+    tagged = docs.withColumn("_null", id_.isNull()).withColumn("_id", F.coalesce(id_, F.lit(0))).withColumn("_th", F.xxhash64("text"))
+    joined = tagged.join(side, ["_null", "_id", "_th"], "left")
+    alone = joined.where("stays is null").select(*docs.columns)
+    if not marked.where("stays").limit(1).count():
+        return alone
+    return alone.unionByName(joined.where("stays").dropDuplicates(["_null", "_id", "_th"]).select(*docs.columns))

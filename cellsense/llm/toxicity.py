@@ -25,7 +25,7 @@ from .common import bounded_labels, crc_mod
 #: The training sample: at most so many documents of class 0 and of class 1, and so many bytes of text in all.
 SAMPLE_PER_CLASS, SAMPLE_BYTES = (6000, 2000), 40_000_000
 BUCKET_BITS, DIM, GRAMS, SCALE, EPOCHS, BATCH, RATE, DECAY = 16, 8, (3, 4, 5), 60.0, 4, 50, 0.01, 1e-6
-BUCKETS, ODD = 1 << BUCKET_BITS, 16777619
+BUCKETS, ODD, MIN_STEPS = 1 << BUCKET_BITS, 16777619, 400
 STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
@@ -78,8 +78,9 @@ class Model:
         del table, who
         rng, step = np.random.default_rng(seed), 0
         state = [(np.zeros_like(p), np.zeros_like(p)) for p in (self.v, self.u, self.b)]
-        for _ in range(epochs):
-            for part in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // BATCH)):
+        per_epoch = max(1, len(docs) // BATCH)
+        for _ in range(max(epochs, -(-MIN_STEPS // per_epoch))):
+            for part in np.array_split(rng.permutation(len(docs)), per_epoch):
                 step += 1
                 words, weights = (np.concatenate([docs[i][k] for i in part]) for k in (0, 1))
                 doc = np.repeat(np.arange(len(part)), [len(docs[i][0]) for i in part])
