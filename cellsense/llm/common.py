@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Hash buckets per group used to number rows without putting a group into one task.
-SLOT_BUCKETS = 1024
+#: Hex digits of a row's hash that name its bucket: rows of a group are numbered in 16 ** DIGITS buckets, not in one task.
+DIGITS = 3
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,19 +54,24 @@ def group_key(col: Column) -> Column:
     return F.when(col.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), col.cast("string")))
 
 
-def slots(df: DataFrame, group: str, order: list[str], level: str | None = None, buckets: int = SLOT_BUCKETS) -> DataFrame:
-    """Add ``_slot``: each row's place from 0 in its group, gapless, the same in every run.
+def row_hash(*cols: Column) -> Column:
+    """A hash of some columns as hex text, the same in every engine: rows are put in its order."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]).cast("binary"))
 
-    Rows are placed by (level, hash bucket of ``order``, ``order``), so a group of any size is spread over
-    ``buckets`` windows per level. Counts per bucket are summed before a running sum over at most
-    levels x buckets rows of a group; no task ever holds a group. ``group``, ``level`` must not be null.
+
+def slots(df: DataFrame, group: str, key: str, level: str | None = None) -> DataFrame:
+    """Add ``_slot``: each row's place from 0 in its group by (level, key), gapless, the same in every run.
+
+    ``key`` is hex text (see ``row_hash``). Rows are numbered within (group, level, first digits of the key), so a group
+    of any size is spread over many windows; counts per bucket are summed before running sums over the buckets of a
+    level and over the levels of a group. No task ever holds a group. ``group`` and ``level`` must not be null. Rows with
+    the same key are alike and take neighbouring slots.
     """
+    own = level is None
     level = level or "_level"
-    rows = df if level in df.columns else df.withColumn(level, F.lit(0))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    rows = (df.withColumn(level, F.lit(0)) if own else df).withColumn("_bucket", F.substring(key, 1, DIGITS))
     keys = [group, level, "_bucket"]
-    local = Window.partitionBy(*keys).orderBy(*order)
-    ranked = rows.withColumn("_local", F.row_number().over(local) - 1)
+    ranked = rows.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy(key)) - 1)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     inner = Window.partitionBy(group, level).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(group).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
@@ -76,7 +81,7 @@ def slots(df: DataFrame, group: str, order: list[str], level: str | None = None,
     starts = counts.select(*keys, F.coalesce(F.sum("_n").over(inner), F.lit(0)).alias("_before"))
     starts = starts.join(by_level, [group, level]).select(*keys, (F.col("_before") + F.col("_before_level")).alias("_start"))
     out = ranked.join(starts, keys).withColumn("_slot", (F.col("_start") + F.col("_local")).cast("long"))
-    return out.drop("_bucket", "_local", "_start", *([] if level in df.columns else [level]))
+    return out.drop("_bucket", "_local", "_start", *([level] if own else []))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -1,9 +1,9 @@
 """Mixing sources to target weights by systematic sampling.
 
 Targets are shared out by weight and stop at ``limit`` times a source's size; each document then expects the same
-number of copies r = target / source size. Documents of a source stand in a fixed order (size class, hash of the
+number of copies r = target / source size. Documents of a source stand in a fixed order (size, hash of the
 row); the document in place k is emitted once per integer in (u + r k, u + r (k + 1)], u being the source's one
-random offset. Ordering by size class keeps the words taken near the target. Places come from bucket counts
+random offset. Ordering by size keeps the words taken near the target. Places come from bucket counts
 (see ``common.slots``), so a source of any size is spread over the cluster and reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last; a source without words has
@@ -17,9 +17,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import group_key, slots, written
+
+from .common import group_key, row_hash, slots, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,22 +29,20 @@ def n_words(text: str = "text") -> Column:
 
 
 def share_out(sizes: Sequence[int], weights: Sequence[float], total: float, limit: float) -> list[float]:
-    """Targets by weight; those above ``limit`` times their size stop there and the excess is shared again."""
-    target, fixed = [0.0] * len(sizes), [s <= 0 for s in sizes]
-    while not all(fixed):
-        left = total - sum(t for t, f in zip(target, fixed, strict=True) if f)
-        weight = sum(w for w, f in zip(weights, fixed, strict=True) if not f)
-        above = []
-        for i, done in enumerate(fixed):
-            if not done:
-                target[i] = left * weights[i] / weight
-                if target[i] > limit * sizes[i]:
-                    above.append(i)
-        if not above:
+    """Targets by weight, of which none passes ``limit`` times its size: the level at which the capped targets add up to the total.
+
+    Sources are capped in the order of their cap per weight, until the level of the others is below the next cap."""
+    order = sorted(range(len(sizes)), key=lambda i: (limit * sizes[i] / weights[i], i))
+    capped, weight = 0.0, float(sum(weights))
+    level = 0.0
+    for i in order:
+        level = (total - capped) / weight
+        if level <= limit * sizes[i] / weights[i]:
             break
-        for i in above:
-            target[i], fixed[i] = float(limit * sizes[i]), True
-    return target
+        capped, weight = capped + limit * sizes[i], weight - weights[i]
+    else:
+        level = float("inf")
+    return [min(w * level, limit * s) if s else 0.0 for s, w in zip(sizes, weights, strict=True)]
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -64,24 +62,23 @@ def targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 
 
 def _sampled(rows: DataFrame, goals: list[tuple], seed: int) -> DataFrame:
-    """``rows`` (with _g, _class, _row, size) with source_size, target and copies."""
+    """``rows`` (with _g, _row, _size) with source_size, target and copies."""
     plan = rows.sparkSession.createDataFrame([("n" if s is None else f"v{s}", n, t) for s, n, t in goals], "_g string, source_size long, target double")
-    placed = slots(rows, "_g", ["_row"], level="_class").join(F.broadcast(plan), "_g")  # one row per source, counted by targets()
+    placed = slots(rows, "_g", "_row", level="_size").join(F.broadcast(plan), "_g")  # one row per source, counted by targets()
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.crc32(F.concat(F.lit(f"{seed}|"), F.col("_g")).cast("binary")) / F.lit(float(1 << 32))
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("_g")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     edge = lambda k: F.floor(offset + rate * k)
     return placed.withColumn("copies", (edge(F.col("_slot") + 1) - edge(F.col("_slot"))).cast("int"))
 
 
-def _keyed(docs: DataFrame, keep: Sequence[str], mark: Sequence[str]) -> DataFrame:
-    """The kept columns with size, source key, size class (64 to the octave) and a hash of the marking columns."""
-    rows = docs.select(*keep, n_words().alias("_size"), group_key(F.col("source")).alias("_g"), F.xxhash64(*mark).alias("_row"))
-    return rows.withColumn("_class", F.floor(F.log2(F.col("_size") + 1) * 64).cast("int"))
+def _keyed(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The kept columns with size, source key and a hash of the row."""
+    return docs.select(*keep, n_words().alias("_size"), group_key(F.col("source")).alias("_g"), row_hash(F.col("doc_id"), F.col("source"), F.col("text")).alias("_row"))
 
 
 def mix_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: int = 17) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every document; only sizes and hashes are shuffled."""
-    rows = written(_keyed(docs, ["doc_id", "source"], ["doc_id", "text", "source"]))
+    rows = written(_keyed(docs, ["doc_id", "source"]))
     out = _sampled(rows.drop("source"), targets(rows, weights, share, limit), seed)
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).cast("long").alias("taken"), "copies")
 
@@ -89,5 +86,5 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: int = 17) -> DataFrame:
     """The mixed corpus: each document as many times as the plan takes it, with the columns of ``docs``."""
     goals = targets(sizes(docs), weights, share, limit)
-    placed = _sampled(_keyed(docs, docs.columns, ["doc_id", "text", "source"]), goals, seed).where("copies > 0")
+    placed = _sampled(_keyed(docs, docs.columns), goals, seed).where("copies > 0")
     return placed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slots, written
+from .common import row_hash, slots, written
 
 #: Multiplier of the 64-bit generator of jump hashing (fixed value), in 32-bit halves.
 MUL = 2862933555777941757
@@ -63,7 +63,7 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
         jump_hash(F.col(key), shards).alias("shard"),
         jump_hash(F.col(key), grow_to or shards + 1).alias("grown_shard"),
     )
-    out = slots(written(rows), "shard", [key, "text_crc32", "size"])
+    out = slots(written(rows.withColumn("_row", row_hash(F.col(key), F.col("text_crc32"), F.col("size")))), "shard", "_row")
     return out.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("_slot").alias("slot"), "grown_shard")
 
 
