@@ -197,7 +197,8 @@ def prefixes(docs: DataFrame, percent: int, width: int, ranges: int | None = Non
 def families(marked: DataFrame) -> DataFrame:
     """(cid, family) of the sets that agree with another one in their families under all orders."""
     node = lambda c, k: F.xxhash64(F.col(c), F.col(k))
-    each = F.explode(F.flatten(F.array(*[F.transform(f"pre{k}", lambda t, k=k: F.struct(F.lit(k).alias("k"), t.alias("tok"))) for k in range(ORDERS)])))
+    under = lambda k: F.transform(f"pre{k}", lambda t: F.struct(F.lit(k).alias("k"), t.alias("tok")))
+    each = F.explode(F.concat(*[under(k) for k in range(ORDERS)]))
     rows = cut(marked.where(F.size("pre0") > 0).select("cid", each.alias("x")).select("cid", "x.k", "x.tok").distinct())
     least = rows.groupBy("k", "tok").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     ties = rows.join(least, ["k", "tok"]).select(node("head", "k").alias("a"), node("cid", "k").alias("b"), "cid", "k")
@@ -302,9 +303,9 @@ def distinct(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     rows = marked.count()
     side = F.broadcast(marked) if rows <= BROADCAST_ROWS else marked
     id_ = F.col("doc_id").cast("long")
-    tagged = docs.withColumn("_null", id_.isNull()).withColumn("_id", F.coalesce(id_, F.lit(0))).withColumn("_th", F.xxhash64("text"))
-    joined = tagged.join(side, ["_null", "_id", "_th"], "left")
-    alone = joined.where("stays is null").select(*docs.columns)
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_box"), id_.isNull().alias("_null"), F.coalesce(id_, F.lit(0)).alias("_id"), F.xxhash64("text").alias("_th"))
+    joined = boxed.join(side, ["_null", "_id", "_th"], "left")
+    alone = joined.where("stays is null").select("_box.*")
     if not marked.where("stays").limit(1).count():
         return alone
-    return alone.unionByName(joined.where("stays").dropDuplicates(["_null", "_id", "_th"]).select(*docs.columns))
+    return alone.unionByName(joined.where("stays").dropDuplicates(["_null", "_id", "_th"]).select("_box.*"))
