@@ -28,8 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small
 from .common import components, cut, release, written
-from .shingles import mix, set_id, shingle_set
+from .shingles import forget, mix, set_id, shingle_set
 
 ORDERS = 3
 #: A chunk holds at most so many documents and about so many tokens; a block at most so many documents.
@@ -85,7 +86,7 @@ def _map(width: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, docs, sets, seen, held = TaskContext.get().partitionId() << 24, [], [], {}, 0
-        for batch in batches:
+        for batch in small(batches):
             for key, text, th in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 s = shingle_set(text or b"", width)
                 cid = set_id(s)
@@ -100,6 +101,7 @@ def _map(width: int, bits: int):
                     chunk, docs, sets, seen, held = chunk + 1, [], [], {}, 0
         if docs:
             yield from flush(chunk, docs, sets)
+        forget()
 
     return run
 

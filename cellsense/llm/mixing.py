@@ -71,14 +71,14 @@ def _sampled(rows: DataFrame, goals: list[tuple], seed: int) -> DataFrame:
     return placed.withColumn("copies", (edge(F.col("_slot") + 1) - edge(F.col("_slot"))).cast("int"))
 
 
-def _keyed(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+def _keyed(docs: DataFrame, *keep: Column) -> DataFrame:
     """The kept columns with size, source key and a hash of the row."""
     return docs.select(*keep, n_words().alias("_size"), group_key(F.col("source")).alias("_g"), row_hash(F.col("doc_id"), F.col("source"), F.col("text")).alias("_row"))
 
 
 def mix_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: int = 17) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every document; only sizes and hashes are shuffled."""
-    rows = written(_keyed(docs, ["doc_id", "source"]))
+    rows = written(_keyed(docs, F.col("doc_id"), F.col("source")))
     out = _sampled(rows.drop("source"), targets(rows, weights, share, limit), seed)
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).cast("long").alias("taken"), "copies")
 
@@ -86,5 +86,6 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: int = 17) -> DataFrame:
     """The mixed corpus: each document as many times as the plan takes it, with the columns of ``docs``."""
     goals = targets(sizes(docs), weights, share, limit)
-    placed = _sampled(_keyed(docs, docs.columns), goals, seed).where("copies > 0")
-    return placed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    boxed = _keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_box"))  # no name of the documents can clash
+    placed = _sampled(boxed, goals, seed).where("copies > 0")
+    return placed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_box.*")

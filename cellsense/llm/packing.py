@@ -24,7 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CAPACITY, END_ID, WINDOW, CACHE = 2048, 1, 1024, 300_000
+from .batches import small
+
+CAPACITY, END_ID, WINDOW, CACHE = 2048, 1, 1024, 150_000
 
 #: A space inside or at the end of a longer run of white space; there a text isn't cut into words.
 RUN = re.compile(r"\s (?:\s|\Z)")
@@ -196,12 +198,13 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             packer.out = []
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds + [pa.int64()] * 6 + [pa.binary()] * with_ids, strict=False)], names=schema.names)
 
-        for batch in batches:
+        for batch in small(batches):
             kinds = [batch.schema.field(0).type]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 packer.add(key, (table.ids(text) if text else b"") + end)
                 if len(packer.out) >= 5000:
                     yield flush()
+        table.clear()  # a worker lives on after its task
         if kinds:
             packer.end()
             yield flush()

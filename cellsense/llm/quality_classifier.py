@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import small
 from .common import bounded_labels, crc_mod, cut
 from .quality_rules import WORDS, histograms
 from .textstats import duplicate_lines
@@ -130,7 +131,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, score double, predicted int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             p = model.score(texts) if model else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import small
 from .textstats import CLASSES, SPACE, SYMBOLS, class_counts, duplicate_lines, repeated_words
 
 #: Common words of the four languages (fixed values).
@@ -48,7 +49,7 @@ class Bins(dict):
     """The bin of a word as it stands in a text; forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         out = self[word] = _index.get(word.strip(b".,;:!?").lower(), len(WORDS))
         return out
@@ -79,10 +80,11 @@ def references(docs: DataFrame, guard_words: int = GUARD_WORDS) -> dict[str, tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if lang is not None and text and len(words := text.split()) >= guard_words:
                     sums[lang] = sums.get(lang, 0) + np.concatenate(histograms(text, words))
+        _bins.clear()  # a worker lives on after its task
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["lang", "counts"])
 
     cells = docs.select("lang", "text").mapInArrow(run, "lang string, counts array<long>")
@@ -109,7 +111,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", refs: dict | None = None, max
     schema = T.StructType([docs.schema[c] for c in carry] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(0).cast(pa.binary()).to_pylist()
             n = len(texts)
             base = np.zeros((n, 5), dtype=np.int64)
@@ -126,6 +128,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", refs: dict | None = None, max
             kept = ~failed & ~(on_c & (far_c > max_char)) & ~(on_w & (far_w > max_word + WORD_ALLOWANCE / np.sqrt(np.maximum(base[:, 0], 1))))
             out = [pa.array(base[:, k]) for k in range(5)] + [pa.array(failed), pa.array(far_c, mask=~on_c), pa.array(far_w, mask=~on_w), pa.array(kept)]
             yield pa.RecordBatch.from_arrays([batch.column(1 + k) for k in range(len(carry))] + out, names=schema.names)
+        _bins.clear()
 
     body = docs.select(F.col("text").alias("_text"), *carry)
     return body.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ class Hashes(dict):
     """64-bit hashes of words, computed on first use; forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out
@@ -32,6 +32,11 @@ class Hashes(dict):
 _hashes = Hashes()
 
 
+def forget() -> None:
+    """Empty the table of words; a worker lives on after its task."""
+    _hashes.clear()
+
+
 def shingle_set(text: bytes, width: int = 3) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles: A-Z lower-cased, words between white space; a text with
     fewer words than ``width`` is one shingle, one without words has none."""

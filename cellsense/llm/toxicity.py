@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import small
 from .common import bounded_labels, crc_mod
 
 #: The training sample: at most so many documents of class 0 and of class 1, and so many bytes of text in all.
 SAMPLE_PER_CLASS, SAMPLE_BYTES = (6000, 2000), 40_000_000
 BUCKET_BITS, DIM, GRAMS, SCALE, EPOCHS, BATCH, RATE, DECAY = 16, 8, (3, 4, 5), 60.0, 4, 50, 0.01, 1e-6
-BUCKETS, ODD, MIN_STEPS = 1 << BUCKET_BITS, 16777619, 400
+BUCKETS, ODD, MIN_STEPS = 1 << BUCKET_BITS, 16777619, 600
 STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
@@ -110,7 +111,7 @@ class Model:
 class Words:
     """Logits of words as they stand in a text (lower case), computed in blocks on first use; the table starts anew when full."""
 
-    def __init__(self, line: np.ndarray, most: int = 400_000):
+    def __init__(self, line: np.ndarray, most: int = 200_000):
         self.line, self.most, self.known = line, most, {}
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
@@ -165,9 +166,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line, bias = shared.value
         words = Words(line)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            out = bias + np.concatenate([words.score(texts[i : i + 500]) for i in range(0, len(texts), 500)] or [np.empty(0)])
+            out = bias + words.score(texts)
             p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
 
