@@ -26,7 +26,7 @@ from .common import bounded_labels, crc_mod
 #: The training sample: at most so many documents of class 0 and of class 1, and so many bytes of text in all.
 SAMPLE_PER_CLASS, SAMPLE_BYTES = (6000, 2000), 40_000_000
 BUCKET_BITS, DIM, GRAMS, SCALE, EPOCHS, BATCH, RATE, DECAY = 16, 8, (3, 4, 5), 60.0, 4, 50, 0.01, 1e-6
-BUCKETS, ODD, MIN_STEPS = 1 << BUCKET_BITS, 16777619, 600
+BUCKETS, ODD, MIN_STEPS = 1 << BUCKET_BITS, 16777619, 800
 STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
