@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import embedding_dedup, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, sharding, toxicity, url_filters
+from .oracles import ORACLES
 
 #: Key of the pseudonyms; a deployment passes its own secret.
 PII_KEY = "cellsense-demo-key"
@@ -41,7 +43,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumn("char_distance", F.round("char_distance", 6)).withColumn("word_distance", F.round("word_distance", 6))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +63,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_quality_classifier, op4_url_filters, op5_pii, op6_quality_rules, op7_jaccard_join, op8_embedding_dedup, op9_mixing, op10_toxicity)}
-ORACLES: dict[str, str] = {}
