@@ -287,7 +287,7 @@ def resolved(docs: DataFrame, percent: int, width: int, ranges: int | None = Non
 def join(docs: DataFrame, percent: int = 90, width: int = 3, ranges: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; linked when 100 x intersection >= percent x union."""
     named = resolved(docs, percent, width, ranges)
-    least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = cut(named.groupBy("root").agg(F.min("doc_id").alias("least")))  # on its own, so that a large component's side of the join can be split
     out = named.join(least, "root")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
