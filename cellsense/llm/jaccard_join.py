@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import small
-from .common import components, cut, release, written
+from .common import components, cut, release, short_batches, written
 from .shingles import forget, mix, set_id, shingle_set
 
 ORDERS = 3
@@ -190,6 +190,7 @@ def prefixes(docs: DataFrame, percent: int, width: int, ranges: int | None = Non
     if not 6 <= bits <= 30:
         raise ValueError("ranges: a power of two from 64")
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    short_batches(docs.sparkSession)
     packed = body.mapInArrow(_map(width, bits), PACKED)
     counted = packed.groupBy("key").applyInArrow(_count, PACKED)
     pre = ", ".join(f"pre{k} array<long>" for k in range(ORDERS))

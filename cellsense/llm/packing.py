@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .batches import small
+from .common import short_batches
 
 CAPACITY, END_ID, WINDOW, CACHE = 2048, 1, 1024, 150_000
 
@@ -209,4 +210,5 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             packer.end()
             yield flush()
 
+    short_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import small
-from .common import bounded_labels, crc_mod, cut
+from .common import bounded_labels, crc_mod, cut, short_batches
 from .quality_rules import WORDS, histograms
 from .textstats import duplicate_lines
 
@@ -136,6 +136,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             p = model.score(texts) if model else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
 
+    short_batches(docs.sparkSession)
     return docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out")).mapInArrow(run, schema)
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import small
+from .common import short_batches
 from .textstats import CLASSES, SPACE, SYMBOLS, class_counts, duplicate_lines, repeated_words
 
 #: Common words of the four languages (fixed values).
@@ -87,6 +88,7 @@ def references(docs: DataFrame, guard_words: int = GUARD_WORDS) -> dict[str, tup
         _bins.clear()  # a worker lives on after its task
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["lang", "counts"])
 
+    short_batches(docs.sparkSession)
     cells = docs.select("lang", "text").mapInArrow(run, "lang string, counts array<long>")
     total = cells.groupBy("lang").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(size)])
     top = total.orderBy(F.desc(f"c{len(CLASSES) + len(WORDS)}"), "lang").limit(MAX_LANGUAGES).collect()
@@ -130,6 +132,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", refs: dict | None = None, max
             yield pa.RecordBatch.from_arrays([batch.column(1 + k) for k in range(len(carry))] + out, names=schema.names)
         _bins.clear()
 
+    short_batches(docs.sparkSession)
     body = docs.select(F.col("text").alias("_text"), *carry)
     return body.mapInArrow(run, schema)
 

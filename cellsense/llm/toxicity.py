@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import small
-from .common import bounded_labels, crc_mod
+from .common import bounded_labels, crc_mod, short_batches
 
 #: The training sample: at most so many documents of class 0 and of class 1, and so many bytes of text in all.
 SAMPLE_PER_CLASS, SAMPLE_BYTES = (6000, 2000), 40_000_000
@@ -160,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", where=None) ->
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     line, bias = model if model else (np.zeros(BUCKETS), 0.0)
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((line.astype(np.float32), bias))  # a fixed 256 kB
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, score double, predicted int").fields])
 
