@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .mixing import WORD
-from .quality_rules import CLASSES, GUARD_CHARS, GUARD_WORDS, MAX_CHAR_DISTANCE, MAX_LANGUAGES, MAX_WORD_DISTANCE, WORD_ALLOWANCE, WORDS
+from .quality_rules import CLASSES, GUARD_CHARS, GUARD_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, WORD_ALLOWANCE, WORDS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,5 +65,4 @@ RULES = f"""WITH b AS (SELECT doc_id AS id, lang, coalesce(text, '') AS t FROM d
  SELECT id AS doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN chars >= {GUARD_CHARS} THEN round(c, 6) END AS char_distance, CASE WHEN n_words >= {GUARD_WORDS} THEN round(v, 6) END AS word_distance,
  NOT base_failed AND NOT (chars >= {GUARD_CHARS} AND c > {MAX_CHAR_DISTANCE}) AND NOT (n_words >= {GUARD_WORDS} AND v > {MAX_WORD_DISTANCE} + {WORD_ALLOWANCE} / sqrt(n_words)) AS kept FROM y"""
 
-assert MAX_LANGUAGES >= 4
 ORACLES = {"op6_quality_rules": RULES, "op7_jaccard_join": JACCARD, "op8_embedding_dedup": VECTORS, "op9_mixing": MIXING}

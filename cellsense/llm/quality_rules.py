@@ -16,6 +16,7 @@ repeated rows are judged alike; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,6 @@ WORDS = sorted({w for x in COMMON.values() for w in x.split()})
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, GUARD_WORDS, GUARD_CHARS = 0.3, 0.27, 50, 200
 #: Added to the word limit, divided by the root of the number of words: what chance alone puts between a sample and its source.
 WORD_ALLOWANCE = 1.2
-#: References are built for at most so many languages, those with the most text.
-MAX_LANGUAGES = 16
 
 _index = {w.encode(): i for i, w in enumerate(WORDS)}
 
@@ -91,12 +90,12 @@ def references(docs: DataFrame, guard_words: int = GUARD_WORDS) -> dict[str, tup
     short_batches(docs.sparkSession)
     cells = docs.select("lang", "text").mapInArrow(run, "lang string, counts array<long>")
     total = cells.groupBy("lang").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(size)])
-    top = total.orderBy(F.desc(f"c{len(CLASSES) + len(WORDS)}"), "lang").limit(MAX_LANGUAGES).collect()
+    table = total.toArrow()  # one row of fixed size per language
+    counts = np.array([c.to_numpy() for c in table.columns[1:]], dtype=np.float64).T
     out = {}
-    for row in top:
-        x = np.array(row[1:], dtype=np.float64)
+    for lang, x in sorted(zip(table.column("lang").to_pylist(), counts, strict=True), key=lambda r: r[0]):
         chars, words = x[: len(CLASSES)], x[len(CLASSES) :]
-        out[row[0]] = chars / max(chars.sum(), 1), words / max(words.sum(), 1)
+        out[lang] = chars / max(chars.sum(), 1), words / max(words.sum(), 1)
     return out
 
 
@@ -124,8 +123,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", refs: dict | None = None, max
                     c[i], w[i] = histograms(text, words)
                     base[i] = len(words), c[i].sum() - sum(map(text.count, (SPACE[k : k + 1] for k in range(6)))), sum(map(text.count, (SYMBOLS[k : k + 1] for k in range(8)))), duplicate_lines(text), repeated_words(words)
             failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
-            far_c = np.min([jensen_shannon(c, q) for q in chars], axis=0) if refs else np.zeros(n)
-            far_w = np.min([jensen_shannon(w, q) for q in commons], axis=0) if refs else np.zeros(n)
+            far_c = reduce(np.minimum, (jensen_shannon(c, q) for q in chars)) if refs else np.zeros(n)
+            far_w = reduce(np.minimum, (jensen_shannon(w, q) for q in commons)) if refs else np.zeros(n)
             on_c, on_w = c.sum(axis=1) >= guard_chars, base[:, 0] >= guard_words
             kept = ~failed & ~(on_c & (far_c > max_char)) & ~(on_w & (far_w > max_word + WORD_ALLOWANCE / np.sqrt(np.maximum(base[:, 0], 1))))
             out = [pa.array(base[:, k]) for k in range(5)] + [pa.array(failed), pa.array(far_c, mask=~on_c), pa.array(far_w, mask=~on_w), pa.array(kept)]

@@ -4,11 +4,13 @@ import re
 import zlib
 from collections import Counter
 
+import compare
+import duckdb
 import numpy as np
 import pytest
 
 from cellsense.llm import quality_classifier, quality_rules, toxicity, url_filters
-from cellsense.llm.queries import QUERIES
+from cellsense.llm.queries import ORACLES, QUERIES
 
 
 def base(text):
@@ -43,6 +45,22 @@ def test_junk_goes_and_prose_stays(spark, data):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_every_language_has_a_reference(spark, tmp_path):
+    rng, rows = np.random.default_rng(7), []
+    common = [x.split() for x in quality_rules.COMMON.values()]
+    for k in range(20):  # the last four, in scripts of their own, have the least text
+        letters = [chr((0x4E00, 0x0E01, 0x0621, 0x0905)[k - 16] + i) for i in range(20)] if k > 15 else list("abcdefghijklmnopqrstuvwxyz")
+        for _ in range(2 if k > 15 else 4):
+            own = ["".join(rng.choice(letters, 5)) for _ in range(80 if k > 15 else 150)]
+            rows.append((len(rows), " ".join([*own, *(rng.choice(common[k % 4], 50 + k) if k < 16 else [])]), f"l{k:02}"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert compare.difference(spark, con, QUERIES["op6_quality_rules"], ORACLES["op6_quality_rules"], str(tmp_path)) == ""
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert len(quality_rules.references(docs)) == 20 and quality_rules.keep(docs).where("lang >= 'l16'").count() == 8
+
+
 def test_empty_tables(none, spark):
     assert quality_rules.judge(none).count() == 0 and quality_rules.keep(none).columns == none.columns
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
