@@ -91,6 +91,14 @@ def test_long_chains(spark):
     assert got == roots({x for e in edges for x in e}, edges)
 
 
+def test_chains_in_random_order(spark):
+    ids = random.Random(2).sample(range(10**6), 4000)
+    edges = [*zip(ids, ids[1:], strict=False), *((2_000_000 + i, 3_000_000) for i in range(500)), (2_000_499, 1_500_000), (5_000_001, 5_000_001)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    edges = [(a, b) for a, b in edges if a != b]
+    assert got == roots({x for e in edges for x in e}, edges)
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(5)
     rows, k = [], 0
