@@ -32,8 +32,9 @@ KINDS = {
     "isodate": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "date": r"(?<![\w./])\d{1,2}[./]\d{1,2}[./]\d{4}(?![\w/])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w)",
 }
+#: A run of digit groups, up to where another kind begins; cards are looked for among its groups.
+KINDS["card"] = r"(?<![\w-])(?=\d(?:[ -]?\d){12})\d++(?!\w)(?:[ -](?!%s)\d++(?!\w))*+" % "|".join(KINDS[k] for k in ("phone", "ip", "isodate", "date", "ssn"))
 PATTERN = "|".join(KINDS.values())
 
 #: The 400 years that dates are permuted in: 1800-01-01 .. 2199-12-31, as 189 x 773 days.
@@ -94,6 +95,43 @@ def _new_date(d: Column, key: str) -> Column:
     return F.when((n >= 0) & (n < DAYS_A * DAYS_B), F.date_add(F.to_date(F.lit(FIRST_DAY)), (x * DAYS_B + y).cast("int")))
 
 
+def _card(part: Column, key: str) -> Column:
+    """The pseudonym of a card number, with a right check digit."""
+    digits = F.regexp_replace(part, "[^0-9]", "")
+    body = permute_text(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
+    check = F.transform(F.array(body), lambda b: F.concat(b, F.filter(F.array(*[F.lit(d) for d in DIGITS]), lambda d: F.call_function("luhn_check", F.concat(b, d)))[0]))[0]
+    return _refill(part, check)
+
+
+def _cards(run: Column, key: str) -> Column:
+    """A run of digit groups with the card numbers replaced: spans of whole groups, 13 to 19 digits, with a right check
+    digit; the usual groupings first, then the leftmost, then the longest; spans don't overlap."""
+    parts = F.regexp_extract_all(run, F.lit("[0-9]+|[ -]"), F.lit(0))  # groups at even places
+
+    def spans(parts: Column) -> Column:
+        text = lambda i, j: F.array_join(F.slice(parts, i + 1, j - i + 1), "")
+        ends = lambda i: F.sequence(i, F.least(i + 36, F.size(parts) - 1), F.lit(2))  # noqa: E731 - 19 groups at most
+        made = lambda i: F.transform(ends(i), lambda j: F.struct(text(i, j).alias("t"), i.alias("i"), j.alias("j")))
+        every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2)), made))
+        digits = lambda x: F.regexp_replace(x.t, "[^0-9]", "")
+        good = F.filter(every, lambda x: F.length(digits(x)).between(13, 19) & F.call_function("luhn_check", digits(x)))
+        rare = lambda x: F.when(x.t.rlike(r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})$"), 0).otherwise(1)
+        ranked = F.array_sort(F.transform(good, lambda x: F.struct(rare(x).alias("rare"), x.i.alias("i"), (-x.j).alias("k"), x.t.alias("t"))))
+        apart = lambda acc, x: F.when(F.exists(acc, lambda y: (x.i <= -y.k) & (y.i <= -x.k)), acc).otherwise(F.concat(acc, F.array(x)))
+        return F.aggregate(ranked, F.filter(ranked, lambda x: F.lit(False)), apart)
+
+    def rebuilt(x: Column) -> Column:
+        def one(part: Column, p: Column) -> Column:
+            own = F.filter(x.spans, lambda y: (y.i <= p) & (p <= -y.k))
+            return F.when(F.size(own) == 0, part).when(own[0].i == p, _card(own[0].t, key)).otherwise("")
+
+        return F.array_join(F.transform(x.parts, one), "")
+
+    # bound by lambdas, so that each is worked out once
+    found = F.transform(F.array(parts), lambda x: F.struct(x.alias("parts"), spans(x).alias("spans")))
+    return F.transform(found, rebuilt)[0]
+
+
 def pseudonym(hit: Column, key: str) -> Column:
     """The pseudonym of one hit of PATTERN, or the hit where it isn't valid."""
     digits = F.regexp_replace(hit, "[^0-9]", "")
@@ -132,11 +170,7 @@ def pseudonym(hit: Column, key: str) -> Column:
     pad = lambda c, w: F.lpad(c.cast("string"), w, "0")
     ssn = F.when(valid_ssn, F.concat_ws("-", pad(new_area, 3), pad(s_x % 99 + 1, 2), pad(s_y + 1, 4))).otherwise(hit)
 
-    body = permute_text(F.substr(digits, F.lit(1), n - 1), key, "card")
-    check = F.transform(F.array(body), lambda b: F.concat(b, F.filter(F.array(*[F.lit(d) for d in DIGITS]), lambda d: F.call_function("luhn_check", F.concat(b, d)))[0]))[0]
-    card = F.when(F.call_function("luhn_check", digits), _refill(hit, check)).otherwise(hit)
-
-    made = {"email": email, "key": access, "secret": secret, "phone": phone, "ip": ip, "isodate": iso, "date": date, "ssn": ssn, "card": card}
+    made = {"email": email, "key": access, "secret": secret, "phone": phone, "ip": ip, "isodate": iso, "date": date, "ssn": ssn, "card": _cards(hit, key)}
     return reduce(lambda rest, kind: F.when(is_a(kind), made[kind]).otherwise(rest), reversed(KINDS), hit)
 
 

@@ -58,3 +58,14 @@ def test_keys_differ_and_columns_stay(spark, odd, none):
     assert pii.pseudonymise(odd, "k").columns == odd.columns
     assert pii.pseudonymise(odd, "k").subtract(odd).count() == 0
     assert pii.pseudonymise(none, "k").count() == 0
+
+
+def test_cards_beside_other_digits(spark):
+    cards = ["4111 1111 1111 1111", "4111111111111111", "3782 822463 10005"]
+    forms = [f.format(cards[k]) for f, k in [("{} 123", 0), ("{} 12/25", 0), ("12 {}", 1), ("{}-07", 1), ("1 {} 9999", 2), ("{} 12ab", 1), ("7 8 {} 2019-02-28", 0), ("{} 375-555-4393", 1)]]
+    rows = [(i, f"see {f}.") for i, f in enumerate(forms)]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame([*rows, (50, "1 2 " * 3000), (51, cards[0])], "doc_id long, text string"), "k").collect()}
+    assert not any(c in t for c in cards for t in got.values())
+    new = got[51]
+    assert luhn(new.replace(" ", "")) and got[0] == f"see {new} 123." and got[1] == f"see {new} 12/25." and got[2] == f"see 12 {new.replace(' ', '')}."
+    assert got[6].startswith(f"see 7 8 {new} ") and "2019-02-28" not in got[6] and "375-555-4393" not in got[7] and len(got[50]) == 12000
