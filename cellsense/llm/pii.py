@@ -5,8 +5,8 @@ equal values get equal pseudonyms in every document and different values never m
 IPv4 addresses and social-security numbers stay in range, dates stay calendar dates, phone numbers keep country
 code and punctuation; e-mail addresses and credentials keep the class of each character.
 
-Each text is matched twice by one pattern (the gaps and the hits) and joined again; texts without a digit or an
-at-sign aren't matched at all. No shuffle: the operator is a projection.
+Each text is matched twice by one pattern (the gaps and the hits) and joined again; texts without a digit, an
+at-sign or a credential's name aren't matched at all. No shuffle: the operator is a projection.
 
 Defined cases: a null text stays null and an empty one empty; values that fail validation stay as they are; a value
 met inside a longer word or number is not one; texts of any length are read whole; other columns are untouched.
@@ -26,7 +26,7 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 KINDS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "key": r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)",
-    "secret": r"(?<!\w)(?:password|passwd|secret|token|api_key)\s?[=:]\s?\x22?[0-9a-fA-F]{8,128}+\x22?(?!\w)",
+    "secret": r"(?<!\w)(?i:password|passwd|secret|token|api_key)\s?[=:]\s?\x22?[A-Za-z0-9+/=_-]{8,}+\x22?(?!\w)",
     "phone": r"(?<![\w+])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)",
     "isodate": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\d-])",
@@ -141,8 +141,8 @@ def pseudonym(hit: Column, key: str) -> Column:
     tld = F.length(F.regexp_extract(hit, r"(\.[A-Za-z0-9-]+)$", 1))
     email = F.concat(permute_text(F.substr(hit, F.lit(1), F.length(hit) - tld), key, "email"), F.substr(hit, F.length(hit) - tld + 1, tld))
     access = F.concat(F.lit("AKIA"), permute_text(F.substr(hit, F.lit(5), F.lit(16)), key, "key"))
-    lead = F.length(F.regexp_extract(hit, r"^([a-z_]+\s?[=:]\s?\x22?)", 1))
-    secret = F.concat(F.substr(hit, F.lit(1), lead), permute_text(F.substr(hit, lead + 1, F.length(hit)), key, "secret", (DIGITS, "abcdef", "ABCDEF")))
+    lead = F.length(F.regexp_extract(hit, r"^([A-Za-z_]+\s?[=:]\s?\x22?)", 1))
+    secret = F.concat(F.substr(hit, F.lit(1), lead), permute_text(F.substr(hit, lead + 1, F.length(hit)), key, "secret"))
     phone = _refill(hit, F.concat(F.substr(digits, F.lit(1), n - 10), permute_text(F.substr(digits, n - 9, F.lit(10)), key, "phone")))
 
     octet = F.transform(F.split(hit, r"\."), lambda x: x.cast("int"))
@@ -179,7 +179,7 @@ def pseudonymise_text(text: Column, key: str) -> Column:
     gaps, hits = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     new = F.concat(F.transform(hits, lambda h: pseudonym(h, key)), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(gaps, new, lambda g, h: F.concat(g, h)), "")
-    return F.when(text.rlike("[0-9@]"), joined).otherwise(text)
+    return F.when(text.rlike("[0-9@]|(?i:password|passwd|secret|token|api_key)"), joined).otherwise(text)
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:

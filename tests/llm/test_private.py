@@ -69,3 +69,12 @@ def test_cards_beside_other_digits(spark):
     new = got[51]
     assert luhn(new.replace(" ", "")) and got[0] == f"see {new} 123." and got[1] == f"see {new} 12/25." and got[2] == f"see 12 {new.replace(' ', '')}."
     assert got[6].startswith(f"see 7 8 {new} ") and "2019-02-28" not in got[6] and "375-555-4393" not in got[7] and len(got[50]) == 12000
+
+
+def test_credentials_in_any_case_and_alphabet(spark):
+    rows = ['TOKEN = "0641917EA4E9FEB9CDA8"', "Password=hunterXYZzz", "API_KEY=c2VjcmV0IHZhbHVl+/w==", "Secret: onlyletters", "token=" + "x9Z" * 60]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame([(x,) for x in rows], "text string"), "k").collect()]
+    shape = lambda s: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s)))
+    for old, new in zip(rows, got, strict=True):
+        lead = re.match(r'\w+\s?[=:]\s?"?', old)[0]
+        assert new != old and new.startswith(lead) and shape(new) == shape(old)
