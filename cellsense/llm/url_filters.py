@@ -1,15 +1,16 @@
 """URL filters: explicit host and path rules, and association rules mined from labelled urls.
 
 A url is a set of tokens (scheme, host, its parent domains and labels, path segments with digits folded, extension,
-query names, fragment). FP-growth mines frequent token combinations of a bounded labelled sample together with the
-label; rules that imply a label are pruned by support, confidence, lift and by shorter rules that are no worse. All urls are then
+query names, fragment). All frequent token combinations of a bounded labelled sample are mined, each in the task of its rarest
+token, without those that a shorter one equals; rules that imply a label are pruned by support, confidence, chi-square
+(which any class share can reach) and by shorter rules that are no worse. All urls are then
 matched by an inverted index from token to rules, counting hits until a rule's tokens are complete: one pass, no shuffle.
 
 A page's label is the row of ``labels`` with its id: quality 1 is allow, 0 is block.
 
 Defined cases: a null url or one without ``://`` has empty host and path and no tokens (verdict by default); repeated
 and tied rules keep the shorter, then the smaller by code point; without labels only explicit rules and the default
-speak; an empty table gives no rows; other columns are not read.
+speak, which is allow, or block where most labelled urls are bad; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,10 +18,9 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +29,9 @@ from .common import cut
 
 #: Explicit rules (verdict, host, path); the longest that fits wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Mining: labelled urls of a class at most; tokens of the vocabulary; tokens of a url that take part, the most telling first.
-SAMPLE, VOCABULARY, PER_URL = 50_000, 256, 10
-MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MIN_LIFT, MAX_RULES, DEFAULT = 0.002, 20, 0.6, 1.2, 2000, "allow"
+#: Mining: labelled urls of a class at most; a rule's least share and number of rows, confidence and chi-square (0.001 by chance).
+SAMPLE = 50_000
+MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MIN_CHI, DEFAULT = 0.002, 20, 0.6, 10.83, "allow"
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _END, _QUERY = re.compile(r"[/?#]"), re.compile(r"[?#]")
@@ -70,9 +70,63 @@ def tokens(url: str | None) -> list[str]:
     return sorted(out)
 
 
-def mine(pages: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> list[tuple[tuple[str, ...], str, float]]:
-    """At most MAX_RULES rules (tokens, verdict, confidence), the most confident first."""
+def chi_square(n: int, k: int, total: int, hits: int) -> float:
+    """Chi-square of a set of ``n`` of ``total`` rows, ``k`` of whose rows are in a class of ``hits``; 0 where it speaks against the class."""
+    gain = k * total - n * hits
+    return total * gain * gain / (n * max(total - n, 1) * hits * (total - hits)) if gain > 0 else 0.0
+
+
+def _rules(total: int, blocked: int, least: float, min_confidence: float, min_chi: float):
+    """The rules whose rarest token is the group's, by depth-first search of its rows' other tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        token, block = table.column("token")[0].as_py(), np.array(table.column("block").to_pylist(), dtype=bool)
+        rows: dict[str, list[int]] = defaultdict(list)
+        for i, others in enumerate(table.column("others").to_pylist()):
+            for t in others:
+                rows[t].append(i)
+        bits = {}
+        for t, at in rows.items():
+            if len(at) >= least:
+                x = np.zeros(len(block), dtype=bool)
+                x[at] = True
+                bits[t] = np.packbits(x)
+        distinct: dict[bytes, str] = {}
+        for t in sorted(bits):  # of tokens on the same rows one is enough: the others' rules are no shorter and no better
+            distinct.setdefault(bits[t].tobytes(), t)
+        names, marks = sorted(distinct.values()), np.packbits(block)
+        count = lambda x: int(np.bitwise_count(x).sum())
+        out: list[tuple[list[str], str, float, int]] = []
+        stack = [([token], np.packbits(np.ones(len(block), dtype=bool)), len(block), 0)]
+        while stack:
+            have, x, n, start = stack.pop()
+            k = count(x & marks)
+            more = False
+            for verdict, c, hits in (("block", k, blocked), ("allow", n - k, total - blocked)):
+                if c < least or chi_square(c, c, total, hits) < min_chi:  # nor can any longer set with this verdict
+                    continue
+                if c >= min_confidence * n and chi_square(n, c, total, hits) >= min_chi:
+                    out.append((have, verdict, c / n, n))
+                more |= c < n
+            for i in range(start, len(names)) if more else ():
+                y = x & bits[names[i]]
+                m = count(y)
+                if least <= m < n:  # as many rows: no better than without the token
+                    stack.append(([*have, names[i]], y, m, i + 1))
+        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.list_(pa.string()), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["have", "verdict", "confidence", "n"])
+
+    return run
+
+
+def mine(pages: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_chi: float = MIN_CHI) -> list[tuple[tuple[str, ...], str, float]]:
+    """All rules (tokens, verdict, confidence) that pass, the most confident first."""
+    return learn(pages, labels, sample, min_support, min_rows, min_confidence, min_chi)[0]
+
+
+def learn(pages: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_chi: float = MIN_CHI) -> tuple[list[tuple[tuple[str, ...], str, float]], str]:
+    """The rules, and the default: block where most labelled urls are bad."""
     wanted = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    default = DEFAULT
     pick = lambda v: wanted.where(F.col("quality") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = pick(0).unionByName(pick(1)).select(F.col("doc_id").alias("page_id"), F.when(F.col("quality") == 1, "allow").otherwise("block").alias("verdict"))
     rows = pages.select("page_id", "url").join(F.broadcast(chosen), "page_id")  # at most 2 x sample rows
@@ -85,27 +139,31 @@ def mine(pages: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_support:
     total = {r.verdict: r["count"] for r in known.groupBy("verdict").count().collect()}
     n = sum(total.values())
     if len(total) < 2:
-        return []
+        return [], default
     least = max(min_rows, min_support * n)
-    share = total["block"] / n
-    seen = known.select("verdict", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "block").alias("k"))
-    told = F.abs(F.col("k") - F.lit(share) * F.col("n")) / F.sqrt(F.col("n") * F.lit(max(share * (1 - share), 1e-9)))
-    vocabulary = [r.token for r in seen.where(F.col("n") >= least).orderBy(F.desc(told), "token").limit(VOCABULARY).collect()]
-    if not vocabulary:
-        return []
-    ranked = F.array(*[F.lit(t) for t in vocabulary])
-    items = F.slice(F.array_intersect(ranked, "tokens"), 1, PER_URL)
-    baskets = cut(known.select(F.concat(items, F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items")))
-    found = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=min_confidence).fit(baskets).associationRules
-    found = found.where(F.col("consequent")[0].startswith("verdict:") & ~F.exists("antecedent", lambda x: x.startswith("verdict:")) & (F.col("lift") >= min_lift))
-    rules = found.orderBy(F.desc("confidence"), F.size("antecedent"), F.desc("support"), F.array_join(F.array_sort("antecedent"), " ")).limit(MAX_RULES).collect()
-    kept: dict[frozenset, tuple[str, float]] = {}
-    for r in sorted(rules, key=lambda r: len(r.antecedent)):
-        have, verdict = frozenset(r.antecedent), r.consequent[0].removeprefix("verdict:")
-        shorter = (kept.get(frozenset(c)) for k in range(1, len(have)) for c in combinations(sorted(have), k))
-        if not any(x and x[0] == verdict and x[1] >= r.confidence for x in shorter):
-            kept[have] = verdict, r.confidence
-    return sorted(((tuple(sorted(k)), v, c) for k, (v, c) in kept.items()), key=lambda x: (-x[2], len(x[0]), x[0]))
+    count = known.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
+    frequent = {r.token: i for i, r in enumerate(count.orderBy("count", "token").collect())}  # rarest first; at most tokens of the sample / least
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[str, list[str], bool]] = []
+            for verdict, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = sorted((t for t in found if t in frequent), key=frequent.get)
+                out += [(t, own[i + 1 :], verdict == "block") for i, t in enumerate(own)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 3, (pa.string(), pa.list_(pa.string()), pa.bool_()), strict=True)], names=["token", "others", "block"])
+
+    baskets = known.select("verdict", "tokens").mapInArrow(heads, "token string, others array<string>, block boolean")
+    rules = baskets.groupBy("token").applyInArrow(_rules(n, total["block"], least, min_confidence, min_chi), "have array<string>, verdict string, confidence double, n long").collect()
+    kept: list[tuple[frozenset, str, float]] = []
+    by_token: dict[str, list[int]] = defaultdict(list)
+    for r in sorted(rules, key=lambda r: (len(r.have), sorted(r.have))):
+        have = frozenset(r.have)
+        shorter = {i for t in have for i in by_token[t]}
+        if not any(kept[i][1] == r.verdict and kept[i][2] >= r.confidence and kept[i][0] < have for i in shorter):
+            for t in have:
+                by_token[t].append(len(kept))
+            kept.append((have, r.verdict, r.confidence))
+    return sorted(((tuple(sorted(k)), v, c) for k, v, c in kept), key=lambda x: (-x[2], len(x[0]), x[0])), default
 
 
 class Index:
@@ -150,4 +208,5 @@ def judge(pages: DataFrame, mined: list[tuple[tuple[str, ...], str, float]], rul
 
 
 def classify(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    return judge(pages, mine(pages, labels))
+    mined, default = learn(pages, labels)
+    return judge(pages, mined, default=default)

@@ -132,3 +132,12 @@ def test_url_rules_are_mined(spark):
     assert all(got[i].verdict == brute(u) for i, u in [*rows, (900, "http://bad.net/news/z"), (902, "http://new.net/" + "a/" * 5000)])
     assert got[0].verdict == "block" and got[1].verdict == "allow"
     assert url_filters.mine(pages, lab.where("false")) == [] and url_filters.classify(pages.where("false"), lab).count() == 0
+
+
+def test_url_rules_see_whole_urls_and_all_sites(spark):
+    tail = "/".join("abcdefghijklm")
+    rows = [(i, f"https://www.s{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijkl'[i // 26 % 12]}.net/{tail}?x=1&y=2#z") for i in range(312 * 25)]
+    labels = spark.createDataFrame([(i, int(i % 26 >= 13), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    mined = url_filters.mine(spark.createDataFrame(rows, "page_id long, url string"), labels)
+    index = url_filters.Index(mined)
+    assert all(index.verdict(url_filters.tokens(u)) == ("allow" if i % 26 >= 13 else "block") for i, u in rows[:312])
