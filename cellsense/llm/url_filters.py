@@ -126,7 +126,9 @@ def mine(pages: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_support:
 def learn(pages: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_chi: float = MIN_CHI) -> tuple[list[tuple[tuple[str, ...], str, float]], str]:
     """The rules, and the default: block where most labelled urls are bad."""
     wanted = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    default = DEFAULT
+    bad = wanted.join(pages.select(F.col("page_id").alias("doc_id")), "doc_id").groupBy("quality").count().collect()
+    bad = {r.quality: r["count"] for r in bad}
+    default = "block" if bad.get(0, 0) > bad.get(1, 0) else DEFAULT
     pick = lambda v: wanted.where(F.col("quality") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = pick(0).unionByName(pick(1)).select(F.col("doc_id").alias("page_id"), F.when(F.col("quality") == 1, "allow").otherwise("block").alias("verdict"))
     rows = pages.select("page_id", "url").join(F.broadcast(chosen), "page_id")  # at most 2 x sample rows

@@ -141,3 +141,11 @@ def test_url_rules_see_whole_urls_and_all_sites(spark):
     mined = url_filters.mine(spark.createDataFrame(rows, "page_id long, url string"), labels)
     index = url_filters.Index(mined)
     assert all(index.verdict(url_filters.tokens(u)) == ("allow" if i % 26 >= 13 else "block") for i, u in rows[:312])
+
+
+def test_most_urls_bad(spark):
+    rows = [(i, f"http://{'good' if i % 10 == 0 else 'bad'}.net/{i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.by) for r in url_filters.classify(pages, labels).collect()}
+    assert all(got[i] == ("allow" if i % 10 == 0 else "block", "mined") for i, _ in rows)
