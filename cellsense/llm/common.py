@@ -2,61 +2,85 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Hex digits of a row's hash that name its bucket: rows of a group are numbered in 16 ** DIGITS buckets, not in one task.
 DIGITS = 3
+#: A side of a join is broadcast up to this counted number of (narrow) rows, else joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: So many counted links (16 bytes each) at most are settled in one task; the result is the same either way.
+ONE_TASK = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(conf)
-        return conf.rstrip("/")
+    if not conf:
+        conf = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/cellsense-scratch"
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cellsense-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+        spark.sparkContext.setCheckpointDir(conf)
+    return conf.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a small frame with a reliable checkpoint and forget its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _at(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Materialise a wide frame as a Parquet table in the shared folder; the files go when the session ends."""
+class Scratch:
+    """Tables in the shared folder that only the steps of one computation read; ``drop`` removes them when it is done.
+
+    What a returned frame reads is written by ``written`` instead: it goes when the session ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        self.paths.append(path)
+        return out
+
+    def drop(self) -> None:
+        for path in self.paths:
+            target, fs = _at(self.spark, path)
+            fs.delete(target, True)
+        self.paths = []
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cellsense-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, fs = _at(spark, path)
+    fs.deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Materialise a frame as a Parquet table in the shared folder, which cuts its lineage; the files go when the session ends."""
+    return _written(df)[0]
+
+
+def side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written frame as one side of a join: broadcast if a count shows at most ``rows`` rows. A larger one is shuffled, and as
+    both sides are then plain scans below the exchange, a key with many rows on the other side is split by Spark's skew join."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send texts to Python by ``rows`` at a time where the session still has the default of 10000, whose Arrow buffers
-    (in the JVM and in Python) are sized for numbers; a setting of the session's own stays."""
+    (in the JVM and in Python) are sized for numbers; a setting of the session's own stays. The setting outlives the call, as
+    Spark reads it when a frame is run, not when it is made."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, "10000") == "10000":
         spark.conf.set(name, str(rows))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def group_key(col: Column) -> Column:
     """A never-null text form of a group column, in which null differs from every value."""
     return F.when(col.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), col.cast("string")))
@@ -92,39 +116,74 @@ def slots(df: DataFrame, group: str, key: str, level: str | None = None) -> Data
     return out.drop("_bucket", "_local", "_start", *([level] if own else []))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of a counted, small number of links in one task: the smaller of two tops becomes the top of both."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        path = []
+        while (up := top.setdefault(x, x)) != x:
+            path.append(x)
+            x = up
+        for y in path:
+            top[y] = x
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            top[max(x, y)] = min(x, y)
+    nodes = list(top)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; root is the smallest node reachable.
 
+    At most ``one_task`` counted links are settled in one task; beyond that:
+
     Each node points to its smallest neighbour where that is smaller; a node that points nowhere and that none points to
     points to its smallest neighbour all the same. That makes a forest whose trees have two nodes or more; pointer
     jumping finds the tops, and the tops with the links between trees are the next, at most half as large graph. So the
-    rounds, and the jumps of each, are logarithmic whatever the order of the ids. Every aggregate is a minimum, which
-    combines before the shuffle, so a hub with any number of edges costs each task no more than its share. Frames are
-    written, not checkpointed: a checkpoint keeps its plan's estimated size, whose digits double with every join.
+    rounds, and the jumps of each, are logarithmic whatever the order of the ids.
+
+    A hub or a large component costs no task more than its share: every aggregate is a minimum, which combines before the
+    shuffle, and what is looked up by a shared key (a tree's top) is one row per tree, kept apart in its own written table
+    and joined as ``side`` says. Frames are written, not checkpointed: a checkpoint keeps its plan's estimated size, whose
+    digits double with every join. The tables of the rounds are removed at the end.
     """
-    links = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    scratch = Scratch(edges.sparkSession)
+    links = scratch.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if links.count() <= one_task:
+        out = written(links.coalesce(1).mapInArrow(_settle, "node long, root long"))
+        scratch.drop()
+        return out
     rounds = []
     while not rounds or not links.isEmpty():
         both = links.union(links.select("b", "a"))
-        low = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), "low"))
-        met = low.where("low < node").select(F.col("low").alias("met")).distinct()
+        low = scratch.write(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), "low"))
+        met = scratch.write(low.where("low < node").select(F.col("low").alias("met")).distinct())
         alone = (F.col("low") > F.col("node")) & F.col("met").isNotNull()
-        tops = written(low.join(met, low.node == met.met, "left").select("node", F.when(alone, F.col("node")).otherwise(F.col("low")).alias("top")))
+        tops = scratch.write(low.join(side(met), low.node == met.met, "left").select("node", F.when(alone, F.col("node")).otherwise(F.col("low")).alias("top")))
         while True:
-            far = tops.select(F.col("node").alias("top"), F.col("top").alias("far"))
-            jumped = written(tops.join(far, "top").select("node", F.col("far").alias("top"), (F.col("far") != F.col("top")).alias("moved")))
-            tops = jumped.select("node", "top")
-            if jumped.where("moved").isEmpty():
+            # one row per node that others point to and that points on itself
+            named = tops.select(F.col("top").alias("node")).distinct()
+            far = scratch.write(tops.where("top <> node").join(named, "node", "left_semi").select(F.col("node").alias("top"), F.col("top").alias("far")))
+            if far.isEmpty():
                 break
+            tops = scratch.write(tops.join(side(far), "top", "left").select("node", F.coalesce("far", "top").alias("top")))
         rounds.append(tops)
-        one, two = tops.select(F.col("node").alias("a"), F.col("top").alias("x")), tops.select(F.col("node").alias("b"), F.col("top").alias("y"))
-        links = written(links.join(one, "a").join(two, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        known = side(tops)
+        one, two = known.select(F.col("node").alias("a"), F.col("top").alias("x")), known.select(F.col("node").alias("b"), F.col("top").alias("y"))
+        links = scratch.write(links.join(one, "a").join(two, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     labels = rounds.pop()
     while rounds:
         last = labels.select(F.col("node").alias("top"), F.col("top").alias("far"))
-        labels = written(rounds.pop().join(last, "top", "left").select("node", F.coalesce("far", "top").alias("top")))
-    least = labels.groupBy("top").agg(F.min("node").alias("root"))
-    return written(labels.join(least, "top").select("node", "root"))
+        labels = scratch.write(rounds.pop().join(side(last), "top", "left").select("node", F.coalesce("far", "top").alias("top")))
+    least = scratch.write(labels.groupBy("top").agg(F.min("node").alias("root")))
+    out = written(labels.join(side(least), "top").select("node", "root"))
+    scratch.drop()
+    return out
 
 
 def crc_mod(col: Column, n: int) -> Column:

@@ -8,18 +8,17 @@ random offset. Ordering by size keeps the words taken near the target. Places co
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last; a source without words has
 target 0 and its documents are not emitted; ties and repeated rows stand side by side, each with its own place;
-an empty table gives no rows. ``mix_plan`` drops other columns, ``mix`` keeps all columns of the documents.
+texts of any length are counted whole; any number of sources is mixed; an empty table gives no rows. ``mix_plan`` drops other columns, ``mix`` keeps all columns of the documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-from .common import group_key, row_hash, slots, written
+from .common import BROADCAST_ROWS, group_key, row_hash, slots, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,22 +48,49 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("source", n_words().alias("_size"))
 
 
-def targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, max_sources: int = 100_000) -> list[tuple]:
-    """(source, size, target) of every source of ``sized(source, _size)``, by code point, null last. Sources are counted in Spark; their number is
-    checked against ``max_sources``, as the table of sources is held by the driver."""
-    found = sized.groupBy("source").agg(F.sum("_size").alias("n")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    found = sorted(((r.source, r.n) for r in found), key=lambda x: (x[0] is None, x[0] or ""))
-    sizes = [n for _, n in found]
-    goal = share_out(sizes, [weights[i % len(weights)] for i in range(len(found))], share * sum(sizes), limit)
-    return [(s, n, t) for (s, n), t in zip(found, goal, strict=True)]
-
-
-def _sampled(rows: DataFrame, goals: list[tuple], seed: int) -> DataFrame:
+def water_level(sized: DataFrame, total: float, limit: float) -> float:
+    """The level of ``share_out`` for sized(n, w) of any length: sources below the level are capped until none is left below it."""
+    cap, level = F.lit(limit) * F.col("n"), -1.0
+    while True:
+        below = cap < F.col("w") * level if level >= 0 else F.lit(False)
+        r = sized.agg(F.sum(F.when(below, cap).otherwise(0.0)).alias("capped"), F.sum(F.when(below, 0.0).otherwise(F.col("w"))).alias("w")).first()
+        if not r.w:
+            return float("inf")
+        if (total - r.capped) / r.w <= level:
+            return level
+        level = (total - r.capped) / r.w
+
+
+def targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, small: int = BROADCAST_ROWS) -> DataFrame:
+    """(_g, source_size, target) of every source of ``sized(source, _size)``; weights go by code point, null last.
+
+    Up to ``small`` counted sources the shares are worked out on the driver and the frame is marked for broadcast; more stay in Spark:
+    the order comes from a sort by ranges, the level from one sum per step."""
+    spark = sized.sparkSession
+    found = written(sized.groupBy("source").agg(F.sum("_size").alias("n")))
+    if found.count() <= small:
+        rows = sorted(((r.source, r.n) for r in found.collect()), key=lambda x: (x[0] is None, x[0] or ""))
+        sizes = [n for _, n in rows]
+        goal = share_out(sizes, [weights[i % len(weights)] for i in range(len(rows))], share * sum(sizes), limit)
+        plan = [("n" if s is None else f"v{s}", n, t) for (s, n), t in zip(rows, goal, strict=True)]
+        return F.broadcast(spark.createDataFrame(plan, "_g string, source_size long, target double"))
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = written(found.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before, at = {}, 0
+    for r in sorted(ranged.groupBy("_part").count().collect()):  # one row per partition
+        before[r["_part"]], at = at, at + r["count"]
+    starts = spark.createDataFrame(list(before.items()), "_part int, _start long")
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    placed = ranged.join(F.broadcast(starts), "_part").withColumn("_i", place)
+    shares = written(placed.select("source", "n", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_i") % len(weights) + 1).cast("int")).alias("w")))
+    level = water_level(shares, share * (shares.agg(F.sum("n")).first()[0] or 0), limit)
+    target = F.when(F.col("n") == 0, 0.0).otherwise(F.least(F.col("w") * level, F.lit(limit) * F.col("n")))
+    return written(shares.select(group_key(F.col("source")).alias("_g"), F.col("n").alias("source_size"), target.alias("target")))
+
+
+def _sampled(rows: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
     """``rows`` (with _g, _row, _size) with source_size, target and copies."""
-    plan = rows.sparkSession.createDataFrame([("n" if s is None else f"v{s}", n, t) for s, n, t in goals], "_g string, source_size long, target double")
-    placed = slots(rows, "_g", "_row", level="_size").join(F.broadcast(plan), "_g")  # one row per source, counted by targets()
+    placed = slots(rows, "_g", "_row", level="_size").join(goals, "_g")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("_g")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     edge = lambda k: F.floor(offset + rate * k)

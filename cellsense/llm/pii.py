@@ -9,7 +9,10 @@ Each text is matched twice by one pattern (the gaps and the hits) and joined aga
 at-sign or a credential's name aren't matched at all. No shuffle: the operator is a projection.
 
 Defined cases: a null text stays null and an empty one empty; values that fail validation stay as they are; a value
-met inside a longer word or number is not one; texts of any length are read whole; other columns are untouched.
+met inside a longer word or number is not one; an address has at most 127 labels of 63 characters, as names on the network have;
+texts of any length are read whole: no pattern repeats a group without a bound or by backtracking, so the matcher's
+stack doesn't grow with the text, and a hit of n characters costs n hashes a round; of overlapping card numbers the usual grouping,
+then the first, then the longest counts; repeated rows are treated alike; other columns are untouched.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 
 #: What may be private, by kind, the first that fits at a place; see ``pseudonym`` for the validation.
 KINDS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,126}+",
     "key": r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)",
     "secret": r"(?<!\w)(?i:password|passwd|secret|token|api_key)\s?[=:]\s?\x22?[A-Za-z0-9+/=_-]{8,}+\x22?(?!\w)",
     "phone": r"(?<![\w+])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
@@ -62,8 +65,9 @@ def permute_text(s: Column, key: str, kind: str, alphabets: tuple[str, ...] = (D
     start = F.struct(F.substr(s, F.lit(1), half).alias("l"), F.substr(s, half + 1, F.length(s)).alias("r"))
 
     def step(acc: Column, i: Column) -> Column:
-        moved = F.transform(F.split(acc.l, ""), lambda c, j: _shift(c, _prf(key, F.lit(kind), i, acc.r, j) % 1000003, alphabets))
-        return F.struct(acc.r.alias("l"), F.array_join(moved, "").alias("r"))
+        seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), acc.r), 256)  # of the other half, once a round
+        move = lambda h: F.array_join(F.transform(F.split(acc.l, ""), lambda c, j: _shift(c, _prf(key, h, j) % 1000003, alphabets)), "")
+        return F.struct(acc.r.alias("l"), F.transform(F.array(seed), move)[0].alias("r"))
 
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
     return F.concat(done.l, done.r)
@@ -107,29 +111,35 @@ def _cards(run: Column, key: str) -> Column:
     """A run of digit groups with the card numbers replaced: spans of whole groups, 13 to 19 digits, with a right check
     digit; the usual groupings first, then the leftmost, then the longest; spans don't overlap."""
     parts = F.regexp_extract_all(run, F.lit("[0-9]+|[ -]"), F.lit(0))  # groups at even places
+    text = lambda parts, i, j: F.array_join(F.slice(parts, i + 1, j - i + 1), "")
+    digits = lambda t: F.regexp_replace(t, "[^0-9]", "")
+    usual = lambda t: t.rlike(r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})$")
 
     def spans(parts: Column) -> Column:
-        text = lambda i, j: F.array_join(F.slice(parts, i + 1, j - i + 1), "")
-        ends = lambda i: F.sequence(i, F.least(i + 36, F.size(parts) - 1), F.lit(2))  # noqa: E731 - 19 groups at most
-        made = lambda i: F.transform(ends(i), lambda j: F.struct(text(i, j).alias("t"), i.alias("i"), j.alias("j")))
-        every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2)), made))
-        digits = lambda x: F.regexp_replace(x.t, "[^0-9]", "")
-        good = F.filter(every, lambda x: F.length(digits(x)).between(13, 19) & F.call_function("luhn_check", digits(x)))
-        rare = lambda x: F.when(x.t.rlike(r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})$"), 0).otherwise(1)
-        ranked = F.array_sort(F.transform(good, lambda x: F.struct(rare(x).alias("rare"), x.i.alias("i"), (-x.j).alias("k"), x.t.alias("t"))))
-        apart = lambda acc, x: F.when(F.exists(acc, lambda y: (x.i <= -y.k) & (y.i <= -x.k)), acc).otherwise(F.concat(acc, F.array(x)))
-        return F.aggregate(ranked, F.filter(ranked, lambda x: F.lit(False)), apart)
-
-    def rebuilt(x: Column) -> Column:
-        def one(part: Column, p: Column) -> Column:
-            own = F.filter(x.spans, lambda y: (y.i <= p) & (p <= -y.k))
-            return F.when(F.size(own) == 0, part).when(own[0].i == p, _card(own[0].t, key)).otherwise("")
-
-        return F.array_join(F.transform(x.parts, one), "")
-
-    # bound by lambdas, so that each is worked out once
-    found = F.transform(F.array(parts), lambda x: F.struct(x.alias("parts"), spans(x).alias("spans")))
-    return F.transform(found, rebuilt)[0]
+        """The valid spans (usual, i, j, t) by first group, the longest first; what isn't valid is dropped group by group."""
+        last = lambda i: F.least(i + 36, F.size(parts) - 1)  # noqa: E731 - 19 groups at most
+        made = lambda i: F.transform(F.sequence(last(i), i, F.lit(-2)), lambda j: F.struct(i.alias("i"), j.alias("j"), text(parts, i, j).alias("t")))
+        good = lambda i: F.filter(made(i), lambda x: F.length(digits(x.t)).between(13, 19) & F.call_function("luhn_check", digits(x.t)))
+        every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2)), good))
+        return F.transform(every, lambda x: F.struct(usual(x.t).alias("usual"), x.i.alias("i"), x.j.alias("j"), x.t.alias("t")))
+
+    def apart(xs: Column) -> Column:
+        """Of spans in order, each that begins after the last one taken."""
+        start = F.struct(F.lit(0).alias("free"), F.filter(xs, lambda x: F.lit(False)).alias("taken"))
+        take = lambda s, x: F.when(x.i < s.free, s).otherwise(F.struct((x.j + 1).alias("free"), F.concat(s.taken, F.array(x)).alias("taken")))
+        return F.aggregate(xs, start, take, lambda s: s.taken)
+
+    def both(spans: Column, first: Column) -> Column:
+        free = F.filter(spans, lambda x: ~x.usual & ~F.exists(first, lambda y: (x.i <= y.j) & (y.i <= x.j)))
+        return F.array_sort(F.concat(first, apart(free)), lambda x, y: x.i - y.i)
+
+    def rebuilt(parts: Column, taken: Column) -> Column:
+        after = lambda n: F.coalesce(F.get(taken, n - 1).j, F.lit(-1))  # noqa: E731 - the end of the span before
+        pieces = F.transform(taken, lambda y, n: F.concat(text(parts, after(n) + 1, y.i - 1), _card(y.t, key)))
+        return F.concat(F.array_join(pieces, ""), text(parts, after(F.size(taken)) + 1, F.size(parts) - 1))
+
+    bound = lambda c, f: F.transform(F.array(c), f)[0]  # noqa: E731 - worked out once
+    return bound(parts, lambda p: bound(spans(p), lambda s: F.when(F.size(s) == 0, run).otherwise(bound(apart(F.filter(s, lambda x: x.usual)), lambda f: bound(both(s, f), lambda t: rebuilt(p, t))))))
 
 
 def pseudonym(hit: Column, key: str) -> Column:

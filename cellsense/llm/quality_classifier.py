@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import small
-from .common import bounded_labels, crc_mod, cut, short_batches
+from .common import bounded_labels, crc_mod, short_batches, written
 from .quality_rules import WORDS, histograms
 from .textstats import duplicate_lines
 
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", where=None,
             x = matrix(b.column(0).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1), b.column(2)], names=["x", "label", "calibrate"])
 
-    measured = cut(rows.mapInArrow(measure, "x binary, label int, calibrate boolean"))  # a bounded table of statistics
+    measured = written(rows.mapInArrow(measure, "x binary, label int, calibrate boolean"))  # a bounded table of statistics
     parts = measured.where("not calibrate")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

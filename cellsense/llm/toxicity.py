@@ -1,13 +1,14 @@
 """Toxicity from subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its hashed character n-grams and of the word itself; a document's is
-the mean over its words; two softmax outputs stand on it. Vectors and outputs are trained together (Adam) on a bounded
-sample of labelled rows. The model is linear in the document, so a word adds one fixed number to the logit: scoring
+the mean over its words; two softmax outputs stand on it. Vectors and outputs are trained together (Adam; a vector moves in the
+steps that meet it) on a bounded sample of labelled rows. The model is linear in the document, so a word adds one fixed number to the logit: scoring
 looks words up in a table that is filled on first use, unseen spellings through the n-grams they share.
 
 Defined cases: null and empty texts have no words and score by the bias alone; without labels of both classes every
-score is 0.5; null labels and label rows without a document are not used; repeated rows score alike; an empty table
-gives no rows; only id and text of the documents are read.
+score is 0.5; null labels and label rows without a document are not used; of several labels of an id the largest
+counts, and of several texts the smallest; repeated rows score alike; texts of any length are scored whole; a tie (score 0.5) is predicted 1;
+an empty table gives no rows; only id and text of the documents are read.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import small
-from .common import bounded_labels, crc_mod, short_batches
+from .common import Scratch, bounded_labels, crc_mod, short_batches
 
-#: The training sample: at most so many documents of class 0 and of class 1, and so many bytes of text in all.
-SAMPLE_PER_CLASS, SAMPLE_BYTES = (6000, 2000), 40_000_000
+#: The training sample: at most so many documents of class 0 and of class 1, so many bytes of text in all and in one text.
+SAMPLE_PER_CLASS, SAMPLE_BYTES, SAMPLE_TEXT = (6000, 2000), 40_000_000, 1_000_000
 BUCKET_BITS, DIM, GRAMS, SCALE, EPOCHS, BATCH, RATE, DECAY = 16, 8, (3, 4, 5), 60.0, 4, 50, 0.01, 1e-6
 BUCKETS, ODD, MIN_STEPS = 1 << BUCKET_BITS, 16777619, 800
 STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_"
@@ -97,11 +98,14 @@ class Model:
                 p[np.arange(len(part)), y[part]] -= 1
                 p /= len(part)
                 de = sums((p @ self.u.T)[doc] * weights[:, None], at, len(used)) / n[:, None]
-                grad = sums(np.repeat(de, n, axis=0), ids, BUCKETS) + DECAY * self.v, h.T @ p, p.sum(0)
-                for x, g, (m, s) in zip((self.v, self.u, self.b), grad, state, strict=True):
-                    m += 0.1 * (g - m)
-                    s += 0.001 * (g * g - s)
-                    x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+                met = np.flatnonzero(np.bincount(ids, minlength=BUCKETS))
+                place = np.empty(BUCKETS, np.int64)
+                place[met] = np.arange(len(met))
+                grad = sums(np.repeat(de, n, axis=0), place[ids], len(met)) + DECAY * self.v[met], h.T @ p, p.sum(0)
+                for x, g, (m, s), rows in zip((self.v, self.u, self.b), grad, state, (met, slice(None), slice(None)), strict=True):
+                    m[rows] += 0.1 * (g - m[rows])
+                    s[rows] += 0.001 * (g * g - s[rows])
+                    x[rows] -= RATE * (m[rows] / (1 - 0.9**step)) / (np.sqrt(s[rows] / (1 - 0.999**step)) + 1e-8)
 
     def line(self) -> tuple[np.ndarray, float]:
         """What each n-gram bucket adds to the logit of class 1, and the bias."""
@@ -133,19 +137,22 @@ class Words:
         return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, where, per_class: tuple[int, int] = SAMPLE_PER_CLASS, max_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
-    """The bounded training sample: whole texts, in the order of the hash of the id, until ``max_bytes`` are met."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, where, per_class: tuple[int, int] = SAMPLE_PER_CLASS, max_bytes: int = SAMPLE_BYTES, max_text: int = SAMPLE_TEXT) -> tuple[list[bytes], np.ndarray]:
+    """The bounded training sample: whole texts in the order of the hash of the id; a text longer than ``max_text`` or than what is left
+    of ``max_bytes`` is passed over. Sizes are looked at first, so the driver never holds more than ``max_bytes`` of text."""
+    scratch = Scratch(docs.sparkSession)
     wanted = bounded_labels(labels, label, per_class, where)
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")  # at most sum(per_class) rows
-    sized = rows.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("doc_id"))
-    texts, y, held = [], [], 0
-    for r in sized.repartition(8, "_h").sortWithinPartitions("_h").toLocalIterator():
-        held += len(b := r.text.encode())
-        if held > max_bytes:
-            break
-        texts.append(b)
-        y.append(r.label)
-    return texts, np.array(y, np.int64)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")  # at most sum(per_class) ids
+    rows = scratch.write(rows.where(F.octet_length("text") <= max_text).groupBy("doc_id", "label").agg(F.min("text").alias("text")).withColumn("_h", F.xxhash64("doc_id")))
+    left, chosen = max_bytes, []
+    for r in sorted(rows.select("_h", "doc_id", F.octet_length("text").alias("n")).collect()):
+        if r.n <= left:
+            left -= r.n
+            chosen.append((r.doc_id,))
+    picked = docs.sparkSession.createDataFrame(chosen, T.StructType([docs.schema["doc_id"]]))
+    got = sorted(rows.join(F.broadcast(picked), "doc_id").select("_h", "doc_id", "label", "text").collect())  # as many rows, max_bytes in all
+    scratch.drop()
+    return [r.text.encode() for r in got], np.array([r.label for r in got], np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", where=None) -> tuple[np.ndarray, float] | None:

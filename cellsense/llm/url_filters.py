@@ -1,15 +1,16 @@
 """URL filters: explicit host and path rules, and association rules mined from labelled urls.
 
 A url is a set of tokens (scheme, host, its parent domains and labels, path segments with digits folded, extension,
-query names, fragment). All frequent token combinations of a bounded labelled sample are mined, each in the task of its rarest
-token, without those that a shorter one equals; rules that imply a label are pruned by support, confidence, chi-square
-(which any class share can reach) and by shorter rules that are no worse. All urls are then
-matched by an inverted index from token to rules, counting hits until a rule's tokens are complete: one pass, no shuffle.
-
-A page's label is the row of ``labels`` with its id: quality 1 is allow, 0 is block.
+query names, fragment). A url that an explicit rule fits is labelled by it, another by the row of ``labels`` with the page's id
+(quality 1 is allow, 0 is block). Over a bounded sample of these, Spark's FP-growth finds all frequent combinations of tokens and
+labels; of tokens on the same urls one is enough, and one on all urls tells nothing, so those are left out first. A
+combination with a label is a rule, kept by support, confidence, chi-square (which asks for more than the label's base rate and which any
+share of a class can reach) and if no shorter rule is as confident. All urls are then matched by an inverted index from token
+to rules, counting hits until a rule's tokens are complete: one pass, no shuffle.
 
 Defined cases: a null url or one without ``://`` has empty host and path and no tokens (verdict by default); repeated
-and tied rules keep the shorter, then the smaller by code point; without labels only explicit rules and the default
+pages are judged alike; of several rows of ``labels`` for a page the lowest quality counts; tied rules: the shorter, then the smaller
+by code point decides; urls of any length are read whole; without labels only explicit rules and the default
 speak, which is allow, or block where most labelled urls are bad; an empty table gives no rows; other columns are not read.
 """
 
@@ -19,19 +20,18 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import Scratch
 
 #: Explicit rules (verdict, host, path); the longest that fits wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Mining: labelled urls of a class at most; a rule's least share and number of rows, confidence and chi-square (0.001 by chance).
+#: Mining: sampled labels of a class and sampled urls of a verdict at most; a rule's least share and number of rows, confidence and chi-square (0.01 by chance).
 SAMPLE = 50_000
-MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MIN_CHI, DEFAULT = 0.002, 20, 0.6, 10.83, "allow"
+MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MIN_CHI, DEFAULT = 0.002, 5, 0.6, 6.63, "allow"
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _END, _QUERY = re.compile(r"[/?#]"), re.compile(r"[?#]")
@@ -70,95 +70,82 @@ def tokens(url: str | None) -> list[str]:
     return sorted(out)
 
 
-def chi_square(n: int, k: int, total: int, hits: int) -> float:
-    """Chi-square of a set of ``n`` of ``total`` rows, ``k`` of whose rows are in a class of ``hits``; 0 where it speaks against the class."""
+#: Labels among the items of a combination: no token of a url starts like this.
+VERDICT = "="
+
+
+def _labelled(urls: DataFrame, rules) -> DataFrame:
+    """(verdict, h, tokens) of urls(url, h, known) that a rule or a known verdict labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for url, h, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                host, path, _ = parts(url)
+                if verdict := explicit(host, path, rules)[1] or known:
+                    out.append((verdict, h, tokens(url)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.string())))], names=["verdict", "h", "tokens"])
+
+    return urls.mapInArrow(run, "verdict string, h long, tokens array<string>")
+
+
+def sample_urls(pages: DataFrame, labels: DataFrame, rules=(), sample: int = SAMPLE) -> DataFrame:
+    """(verdict, tokens) of at most ``sample`` urls of each verdict, by the hash of id and url."""
+    wanted = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    pick = lambda v: wanted.where(F.col("quality") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = pick(0).unionByName(pick(1)).select(F.col("doc_id").alias("page_id"), F.when(F.col("quality") == 1, "allow").otherwise("block").alias("known"))
+    urls = pages.select("page_id", "url").join(F.broadcast(chosen), "page_id", "left")  # at most 2 x sample rows
+    found = _labelled(urls.select("url", F.xxhash64("page_id", "url").alias("h"), "known"), rules)
+    best = lambda v: found.where(F.col("verdict") == v).orderBy("h", "tokens").limit(sample).select("verdict", "tokens")
+    return best("allow").unionByName(best("block"))
+
+
+def chi_square(n, k, total: int, hits: int):
+    """Chi-square of combinations of ``n`` of ``total`` rows, ``k`` of whose rows are in a class of ``hits``; negative where it speaks against the class."""
     gain = k * total - n * hits
-    return total * gain * gain / (n * max(total - n, 1) * hits * (total - hits)) if gain > 0 else 0.0
-
-
-def _rules(total: int, blocked: int, least: float, min_confidence: float, min_chi: float):
-    """The rules whose rarest token is the group's, by depth-first search of its rows' other tokens."""
-
-    def run(table: pa.Table) -> pa.Table:
-        token, block = table.column("token")[0].as_py(), np.array(table.column("block").to_pylist(), dtype=bool)
-        rows: dict[str, list[int]] = defaultdict(list)
-        for i, others in enumerate(table.column("others").to_pylist()):
-            for t in others:
-                rows[t].append(i)
-        bits = {}
-        for t, at in rows.items():
-            if len(at) >= least:
-                x = np.zeros(len(block), dtype=bool)
-                x[at] = True
-                bits[t] = np.packbits(x)
-        distinct: dict[bytes, str] = {}
-        for t in sorted(bits):  # of tokens on the same rows one is enough: the others' rules are no shorter and no better
-            distinct.setdefault(bits[t].tobytes(), t)
-        names, marks = sorted(distinct.values()), np.packbits(block)
-        count = lambda x: int(np.bitwise_count(x).sum())
-        out: list[tuple[list[str], str, float, int]] = []
-        stack = [([token], np.packbits(np.ones(len(block), dtype=bool)), len(block), 0)]
-        while stack:
-            have, x, n, start = stack.pop()
-            k = count(x & marks)
-            more = False
-            for verdict, c, hits in (("block", k, blocked), ("allow", n - k, total - blocked)):
-                if c < least or chi_square(c, c, total, hits) < min_chi:  # nor can any longer set with this verdict
-                    continue
-                if c >= min_confidence * n and chi_square(n, c, total, hits) >= min_chi:
-                    out.append((have, verdict, c / n, n))
-                more |= c < n
-            for i in range(start, len(names)) if more else ():
-                y = x & bits[names[i]]
-                m = count(y)
-                if least <= m < n:  # as many rows: no better than without the token
-                    stack.append(([*have, names[i]], y, m, i + 1))
-        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.list_(pa.string()), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["have", "verdict", "confidence", "n"])
-
-    return run
-
-
-def mine(pages: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_chi: float = MIN_CHI) -> list[tuple[tuple[str, ...], str, float]]:
+    return total * gain * F.abs(gain) / (n * F.greatest(F.lit(total) - n, F.lit(1)) * hits * (total - hits))
+
+
+def mine(pages: DataFrame, labels: DataFrame, rules=(), sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_chi: float = MIN_CHI) -> list[tuple[tuple[str, ...], str, float]]:
     """All rules (tokens, verdict, confidence) that pass, the most confident first."""
-    return learn(pages, labels, sample, min_support, min_rows, min_confidence, min_chi)[0]
+    return learn(pages, labels, rules, sample, min_support, min_rows, min_confidence, min_chi)[0]
 
 
-def learn(pages: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_chi: float = MIN_CHI) -> tuple[list[tuple[tuple[str, ...], str, float]], str]:
+def learn(pages: DataFrame, labels: DataFrame, rules=(), sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_chi: float = MIN_CHI) -> tuple[list[tuple[tuple[str, ...], str, float]], str]:
     """The rules, and the default: block where most labelled urls are bad."""
+    spark = pages.sparkSession
+    scratch = Scratch(spark)
     wanted = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    bad = wanted.join(pages.select(F.col("page_id").alias("doc_id")), "doc_id").groupBy("quality").count().collect()
-    bad = {r.quality: r["count"] for r in bad}
+    bad = {r.quality: r["count"] for r in wanted.join(pages.select(F.col("page_id").alias("doc_id")), "doc_id").groupBy("quality").count().collect()}
     default = "block" if bad.get(0, 0) > bad.get(1, 0) else DEFAULT
-    pick = lambda v: wanted.where(F.col("quality") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = pick(0).unionByName(pick(1)).select(F.col("doc_id").alias("page_id"), F.when(F.col("quality") == 1, "allow").otherwise("block").alias("verdict"))
-    rows = pages.select("page_id", "url").join(F.broadcast(chosen), "page_id")  # at most 2 x sample rows
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tokens(u) for u in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["verdict", "tokens"])
-
-    known = cut(rows.select("verdict", "url").mapInArrow(split, "verdict string, tokens array<string>"))
+    known = scratch.write(sample_urls(pages, labels, rules, sample).withColumn("row", F.xxhash64(F.monotonically_increasing_id())))
     total = {r.verdict: r["count"] for r in known.groupBy("verdict").count().collect()}
     n = sum(total.values())
     if len(total) < 2:
+        scratch.drop()
         return [], default
     least = max(min_rows, min_support * n)
-    count = known.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
-    frequent = {r.token: i for i, r in enumerate(count.orderBy("count", "token").collect())}  # rarest first; at most tokens of the sample / least
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple[str, list[str], bool]] = []
-            for verdict, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = sorted((t for t in found if t in frequent), key=frequent.get)
-                out += [(t, own[i + 1 :], verdict == "block") for i, t in enumerate(own)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 3, (pa.string(), pa.list_(pa.string()), pa.bool_()), strict=True)], names=["token", "others", "block"])
-
-    baskets = known.select("verdict", "tokens").mapInArrow(heads, "token string, others array<string>, block boolean")
-    rules = baskets.groupBy("token").applyInArrow(_rules(n, total["block"], least, min_confidence, min_chi), "have array<string>, verdict string, confidence double, n long").collect()
+    each = known.select("row", F.explode("tokens").alias("token")).groupBy("token")
+    count = each.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("row").alias("x"), F.sum(F.col("row") % 1_000_003).alias("y")).where((F.col("n") >= least) & (F.col("n") < n))
+    one = count.groupBy("n", "x", "y").agg(F.min("token").alias("token"))  # of tokens on the same rows
+    told = [r.token for r in one.select("token").collect()]  # at most tokens of the sample / least
+    items = F.concat(F.filter("tokens", lambda t: t.isin(told)), F.array(F.concat(F.lit(VERDICT), "verdict")))
+    from pyspark.ml.fpm import FPGrowth
+
+    model = FPGrowth(itemsCol="items", minSupport=least / n, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(known.select(items.alias("items")))
+    is_verdict = lambda t: t.startswith(VERDICT)
+    sets = scratch.write(model.freqItemsets.select(F.array_sort(F.filter("items", lambda t: ~is_verdict(t))).alias("have"), F.get(F.filter("items", is_verdict), F.lit(0)).alias("v"), "freq").where(F.size("have") > 0))
+    both = sets.where("v is not null").join(sets.where("v is null").select("have", F.col("freq").alias("n")), "have").select("have", F.substring("v", len(VERDICT) + 1, 9).alias("verdict"), F.col("freq").alias("k"), "n")
+    both = both.withColumn("confidence", F.col("k") / F.col("n"))
+    chi = F.when(F.col("verdict") == "block", chi_square(F.col("n"), F.col("k"), n, total["block"])).otherwise(chi_square(F.col("n"), F.col("k"), n, total["allow"]))
+    good = scratch.write(both.where((F.col("confidence") >= min_confidence) & (chi >= min_chi)).select("have", "verdict", "confidence"))
+    less = good.where(F.size("have") > 1).select("verdict", "have", "confidence", F.explode("have").alias("t")).withColumn("part", F.filter("have", lambda x: x != F.col("t")))
+    beaten = less.join(good.select(F.col("have").alias("part"), "verdict", F.col("confidence").alias("c")), ["part", "verdict"]).where("c >= confidence").select("have", "verdict").distinct()
+    found = good.join(beaten, ["have", "verdict"], "left_anti").collect()  # what one token less makes worse
+    scratch.drop()
     kept: list[tuple[frozenset, str, float]] = []
     by_token: dict[str, list[int]] = defaultdict(list)
-    for r in sorted(rules, key=lambda r: (len(r.have), sorted(r.have))):
+    for r in sorted(found, key=lambda r: (len(r.have), r.have)):
         have = frozenset(r.have)
         shorter = {i for t in have for i in by_token[t]}
         if not any(kept[i][1] == r.verdict and kept[i][2] >= r.confidence and kept[i][0] < have for i in shorter):
@@ -209,6 +196,7 @@ def judge(pages: DataFrame, mined: list[tuple[tuple[str, ...], str, float]], rul
     return pages.select("page_id", "url").mapInArrow(run, schema)
 
 
-def classify(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    mined, default = learn(pages, labels)
-    return judge(pages, mined, default=default)
+def classify(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
+    """All pages judged by the rules, the rules mined from what these and the labels say, and the default."""
+    mined, default = learn(pages, labels, rules)
+    return judge(pages, mined, rules, default)

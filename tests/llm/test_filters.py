@@ -1,5 +1,6 @@
 """Quality rules, classifiers and url filters."""
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -8,6 +9,7 @@ import compare
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellsense.llm import quality_classifier, quality_rules, toxicity, url_filters
 from cellsense.llm.queries import ORACLES, QUERIES
@@ -134,6 +136,138 @@ def test_url_rules_are_mined(spark):
     assert url_filters.mine(pages, lab.where("false")) == [] and url_filters.classify(pages.where("false"), lab).count() == 0
 
 
+def enumerated(rows, least, min_confidence, min_chi):
+    """Every set of tokens that stands in enough rows of a verdict, by going through all subsets of all rows."""
+    total, hits = len(rows), Counter(v for _, v in rows)
+    n, k = Counter(), Counter()
+    for have, v in rows:
+        for size in range(1, len(have) + 1):
+            for c in itertools.combinations(sorted(have), size):
+                n[c] += 1
+                k[c, v] += 1
+    out = {}
+    for (c, v), x in k.items():
+        gain = x * total - n[c] * hits[v]
+        chi = total * gain * abs(gain) / (n[c] * max(total - n[c], 1) * hits[v] * (total - hits[v]))
+        if x >= least and x / n[c] >= min_confidence and chi >= min_chi:
+            out[c, v] = x / n[c]
+    return out
+
+
+def test_mined_rules_are_those_of_all_subsets(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"http://{rng.choice(['a', 'b', 'c'])}.net/{rng.choice(['x', 'y', 'z'])}/{rng.choice(['p.html', 'q.html', 'q'])}{rng.choice(['', '?u=1'])}") for i in range(500)]
+    labels = [(i, int("a.net" not in u and "/x/" not in u or rng.random() < 0.1), 0) for i, u in rows]
+    mined = url_filters.mine(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    sets = [(frozenset(url_filters.tokens(u)), "allow" if q else "block") for (_, u), (_, q, _) in zip(rows, labels, strict=True)]
+    every = enumerated(sets, max(url_filters.MIN_ROWS, url_filters.MIN_SUPPORT * 500), url_filters.MIN_CONFIDENCE, url_filters.MIN_CHI)
+    where = lambda c: frozenset(i for i, (have, _) in enumerate(sets) if have.issuperset(c))
+    # of rules on the same rows one stands for all; a rule that a shorter one's rows and confidence beat isn't kept
+    best = {}
+    for (c, v), conf in every.items():
+        best.setdefault((where(c), v), conf)
+    got = {(where(c), v): conf for c, v, conf in mined}
+    assert all(best[key] == pytest.approx(conf) for key, conf in got.items())
+    beaten = lambda key: any(v == key[1] and rows > key[0] and conf >= best[key] for (rows, v), conf in best.items())
+    assert {key for key in best if not beaten(key)} <= set(got)
+    assert len(mined) == len(got) > 3
+
+
+def test_explicit_rules_teach(spark):
+    rows = [(i, f"http://s{i % 7}.{'com' if i % 3 else 'net'}/{'de' if i % 2 else 'fr'}/{i}") for i in range(600)]
+    pages, none = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = url_filters.classify(pages, none).collect()
+    by = Counter((r.by, r.verdict) for r in got)
+    assert by["mined", "block"] == 100 and by["mined", "allow"] == 100 and by["rule", "block"] == by["rule", "allow"] == 200  # com/de and com/fr teach net
+    assert all(r.verdict == ("block" if "/de/" in u else "allow") for r, (_, u) in zip(sorted(got), rows, strict=True))
+
+
+def test_mined_rules_decide_some_pages(spark):
+    d = "/root/testdata/sf0.1"
+    by = Counter(r.by for r in QUERIES["op4_url_filters"](spark, d).collect())
+    assert by["mined"] > 0 and by["rule"] > 0
+
+
+def test_toxicity_sample_is_bounded_by_size(spark):
+    rows = [(i, "word " * 100) for i in range(50)] + [(100, "x" * 5000), (101, None)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    sample = lambda **k: toxicity.sample(docs, labels, "toxic", F.lit(True), **k)
+    assert len(sample()[0]) == 52
+    texts, y = sample(max_bytes=10_000, max_text=4000)
+    assert len(texts) == len(y) == 21 and sum(map(len, texts)) == 10_000  # twenty texts and the empty one; the long one is passed over
+    assert texts == sample(max_bytes=10_000, max_text=4000)[0]
+
+
+def test_toxicity_training_matches_a_plain_version():
+    """The batched, sparse steps against one document and one vector at a time."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdef"), 4)) for _ in range(12)]
+    texts = [" ".join(rng.choice(words, 6)).encode() for _ in range(10)]
+    y = np.array([i % 2 for i in range(10)])
+    fast, slow = toxicity.Model(), toxicity.Model()
+    steps = 12
+    old, toxicity.MIN_STEPS = toxicity.MIN_STEPS, steps
+    try:
+        fast.train(texts, y, epochs=1)
+    finally:
+        toxicity.MIN_STEPS = old
+    v, u, b = slow.v.astype(np.float64), slow.u.astype(np.float64), slow.b.astype(np.float64)
+    ids = {w: toxicity.grams([w])[1] for w in {w for t in texts for w in toxicity.bag(t)}}
+    mean = {i: [np.zeros_like(p) for p in (v, u, b)] for i in (0, 1)}
+    order = np.random.default_rng(7)
+    for step in range(1, steps + 1):
+        part = order.permutation(len(texts))
+        gv, gu, gb, met = np.zeros_like(v), np.zeros_like(u), np.zeros_like(b), set()
+        for d in part:
+            w = toxicity.bag(texts[d])
+            h = sum(toxicity.SCALE / len(w) * np.mean([v[i] for i in ids[x]], axis=0) for x in w)
+            z = h @ u + b
+            p = np.exp(z - z.max())
+            p = p / p.sum()
+            p[y[d]] -= 1
+            p /= len(part)
+            gu, gb = gu + np.outer(h, p), gb + p
+            for x in w:
+                for i in ids[x]:
+                    gv[i] += toxicity.SCALE / len(w) / len(ids[x]) * (u @ p)
+                    met.add(i)
+        rows = sorted(met)
+        gv[rows] += toxicity.DECAY * v[rows]
+        for k, (x, g) in enumerate(((v, gv), (u, gu), (b, gb))):
+            at = rows if k == 0 else slice(None)
+            mean[0][k][at] = 0.9 * mean[0][k][at] + 0.1 * g[at]
+            mean[1][k][at] = 0.999 * mean[1][k][at] + 0.001 * g[at] ** 2
+            x[at] -= toxicity.RATE * (mean[0][k][at] / (1 - 0.9**step)) / (np.sqrt(mean[1][k][at] / (1 - 0.999**step)) + 1e-8)
+    assert np.allclose(fast.u, u, atol=2e-3) and np.allclose(fast.b, b, atol=2e-3) and np.allclose(fast.v, v, atol=5e-3)
+
+
+def test_quality_fit_matches_a_plain_version(spark):
+    """Partition-summed normal equations and pooled steps against one matrix and a plain least-squares isotonic fit."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(60)) + (" !! | " * 8 if i % 3 == 0 else ".")) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0) if i % 10 else i % 2) for i, _ in rows], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels)
+    part = {r.doc_id: r.c for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(3)) == 0).alias("c")).collect()}
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    x = {i: quality_classifier.statistics(t.encode()) for i, t in rows}
+    train, held = [i for i, _ in rows if not part[i]], [i for i, _ in rows if part[i]]
+    a = np.array([x[i] for i in train])
+    mean, scale = a.mean(0), np.sqrt(np.maximum((a * a).mean(0) - a.mean(0) ** 2, 1e-6))
+    z = quality_classifier.lift(a, mean, scale)
+    # ridge as least squares on rows stacked with the root of the penalty
+    stacked = np.vstack([z, np.sqrt(quality_classifier.RIDGE) * np.eye(z.shape[1])])
+    weights = np.linalg.lstsq(stacked, np.r_[[y[i] for i in train], np.zeros(z.shape[1])], rcond=None)[0]
+    raw = quality_classifier.lift(np.array([x[i] for i in held]), mean, scale) @ weights
+    assert np.allclose(quality_classifier.lift(np.array([x[i] for i in held]), model.mean, model.scale) @ model.weights, raw, atol=1e-6)
+    order = np.argsort(raw, kind="stable")
+    t = np.array([y[i] for i in held], float)[order]
+    # the isotonic fit at each place is the largest over beginnings before it of the smallest mean to an end after it
+    level = [max(min(t[a : e + 1].mean() for e in range(i, len(t))) for a in range(i + 1)) for i in range(len(t))]
+    at = [raw[order][[j for j in range(len(t)) if abs(level[j] - v) < 1e-12]].mean() for v in sorted(set(np.round(level, 12)))]
+    assert np.allclose(model.level, sorted(set(np.round(level, 12)))) and np.allclose(model.at, at, atol=1e-6)
+
+
 def test_url_rules_see_whole_urls_and_all_sites(spark):
     tail = "/".join("abcdefghijklm")
     rows = [(i, f"https://www.s{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijkl'[i // 26 % 12]}.net/{tail}?x=1&y=2#z") for i in range(312 * 25)]

@@ -1,5 +1,6 @@
 """Packing, sharding and mixing against brute force."""
 
+import random
 import struct
 import zlib
 from collections import defaultdict
@@ -144,3 +145,13 @@ def test_mixing(odd, none):
     assert mixed.columns == odd.columns
     assert mixed.count() == sum(r.copies for r in rows)
     assert mixing.mix_plan(none).count() == 0 and mixing.mix(none).count() == 0
+
+
+def test_many_sources_get_the_same_targets(spark):
+    rng = random.Random(5)
+    rows = [(f"s{rng.randrange(400)}" if rng.random() < 0.95 else None, rng.choice([0, 1, 5, 40, 900])) for _ in range(3000)]
+    sized = spark.createDataFrame(rows, "source string, _size long")
+    few = {r._g: (r.source_size, r.target) for r in mixing.targets(sized).collect()}
+    many = {r._g: (r.source_size, r.target) for r in mixing.targets(sized, small=0).collect()}
+    assert few.keys() == many.keys() and all(many[g] == (n, pytest.approx(t)) for g, (n, t) in few.items())
+    assert mixing.targets(sized.where("false"), small=-1).count() == 0

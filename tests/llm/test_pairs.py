@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from cellsense.llm import embedding_dedup, jaccard_join
-from cellsense.llm.common import components
+from cellsense.llm.common import components, written
 
 
 def roots(nodes, edges):
@@ -66,6 +66,39 @@ def test_components_match_brute_force(spark, corpus, percent, width):
     assert kept == {i for i, (n, r) in want.items() if i == r or n == 0}
 
 
+def test_only_pairs_that_pass_all_filters_are_verified(spark):
+    rng = random.Random(4)
+    part = [[f"w{i}x{j}" for j in range(40)] for i in range(120)]
+    docs = [(i, " ".join(w for k in range(6) for w in part[(i + k) % 120])) for i in range(120)]  # a ring: neighbours share five of six parts
+    docs += [(200 + i, " ".join(rng.choice(part[7]) for _ in range(60))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    marked = written(jaccard_join.prefixes(df, 90, 3, 64))
+    verified = []
+    ties = jaccard_join.links(df, marked, 90, 3, verified)
+    assert ties.where("a <> b").isEmpty()
+    lists = {r.cid: r for r in marked.collect()}.values()
+    meet = lambda a, b: all(set(a[f"pre{k}"]) & set(b[f"pre{k}"]) for k in range(jaccard_join.ORDERS))
+    allowed = sum(meet(a, b) for a in lists for b in lists if a.cid < b.cid)
+    checked = sum(v.agg({"checked": "sum"}).first()[0] for v in verified)
+    assert 0 < checked <= allowed < 700
+
+
+def test_large_group_costs_its_rows(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 1500):
+        w = list(base)
+        w[rng.randrange(300)] = f"n{i % 400}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    marked, verified = written(jaccard_join.prefixes(df, 90, 3, 64)), []
+    got = components(jaccard_join.links(df, marked, 90, 3, verified).select("a", "b"))
+    assert got.select("root").distinct().count() == 1
+    rows = marked.agg({"cid": "count"}).first()[0]
+    assert sum(v.agg({"checked": "sum"}).first()[0] for v in verified) < 20 * rows  # of a million pairs
+
+
 def test_odd_rows(odd, none):
     got = jaccard_join.join(odd).collect()
     assert len(got) == odd.count()
@@ -87,14 +120,15 @@ def test_repeated_rows_leave_one(spark):
 
 def test_long_chains(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 5)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == roots({x for e in edges for x in e}, edges)
+    for one_task in (0, 1000):
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
+        assert got == roots({x for e in edges for x in e}, edges)
 
 
 def test_chains_in_random_order(spark):
     ids = random.Random(2).sample(range(10**6), 4000)
     edges = [*zip(ids, ids[1:], strict=False), *((2_000_000 + i, 3_000_000) for i in range(500)), (2_000_499, 1_500_000), (5_000_001, 5_000_001)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), one_task=0).collect()}
     edges = [(a, b) for a, b in edges if a != b]
     assert got == roots({x for e in edges for x in e}, edges)
 
@@ -133,3 +167,28 @@ def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(embedding_dedup.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(embedding_dedup.hadamard(embedding_dedup.hadamard(x)), x)
+
+
+@pytest.mark.parametrize("depth", [2, 3, 4, 5])
+@pytest.mark.parametrize("dim", [64, 128])
+def test_recall_at_every_depth(depth, dim):
+    """Of pairs just at the limit, the share that meets in a bucket."""
+    rng = np.random.default_rng([depth, dim])
+    x = rng.normal(size=(400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * z
+    a, b = embedding_dedup.buckets(x, depth), embedding_dedup.buckets(y, depth)
+    met = [any(set(p) & set(q) for p, q in zip(s, t, strict=True)) for s, t in zip(a.tolist(), b.tolist(), strict=True)]
+    assert np.mean(met) >= 0.99
+
+
+def test_numbers_of_any_size_link(spark):
+    base = np.random.default_rng(1).normal(size=32)
+    rows = [(i, 1, [float(v) for v in base * s]) for i, s in enumerate((1.0, 1e300, 1e-300, 1e-310, -1.0))] + [(None, 1, [float(v) for v in base]), (None, 1, None)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    by = {r.vec_id: r for r in got if r.vec_id is not None}
+    assert [by[i].n_links for i in range(5)] == [4, 4, 4, 4, 0] and {by[i].component_id for i in range(4)} == {0}
+    assert sorted((r.n_links, r.component_id is None) for r in got if r.vec_id is None) == [(0, True), (4, False)]
