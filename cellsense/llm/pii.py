@@ -111,7 +111,8 @@ def _cards(run: Column, key: str) -> Column:
     """A run of digit groups with the card numbers replaced: spans of whole groups, 13 to 19 digits, with a right check
     digit; the usual groupings first, then the leftmost, then the longest; spans don't overlap."""
     parts = F.regexp_extract_all(run, F.lit("[0-9]+|[ -]"), F.lit(0))  # groups at even places
-    text = lambda parts, i, j: F.array_join(F.slice(parts, i + 1, j - i + 1), "")
+    # by places, as a slice would walk the whole run each time
+    text = lambda parts, i, j: F.when(j < i, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(i, F.greatest(i, j)), lambda k: F.get(parts, k)), ""))
     digits = lambda t: F.regexp_replace(t, "[^0-9]", "")
     usual = lambda t: t.rlike(r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})$")
 
