@@ -5,22 +5,30 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lexicon import CURRENCIES, IMAGE_EXTENSIONS, MONTHS
 
-#: Patterns (fixed values), in a syntax that the engines share.
-NUMBER = r"^\s*[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$"
-LAT_LON = r"^[-+]?([1-8]?\d(\.\d+)?|90(\.0+)?),\s*[-+]?(180(\.0+)?|((1[0-7]\d)|([1-9]?\d))(\.\d+)?)$"
-DEGREES = r"^[0-9]+°[0-9]+(′|')[0-9]+(″|''|′′)\s*[N|S|n|s](,)*\s*[0-9]+°[0-9]+(′|')[0-9]+(″|''|′′)\s*[W,E|w,e]"
-STREET = r"\d+\s+\w+\s+(?:st(?:\.|reet)?|ave(?:nue)?|lane|dr(?:\.|ive)?)"
-HOUSE = r"^[\d]+[A-Z\[\\\]^_`a-z\s,]+[\d]"
+#: Patterns (fixed values). None repeats a group without a bound or by backtracking, and none tries a run of characters again from
+#: each of its places: the matcher's stack and time stay in line with the text's length.
+NUMBER = r"^\s*[+-]?(([0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)([eE][+-]?[0-9][0-9_]*)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$"
+INTEGER = r"^\s*[+-]?[0-9][0-9_]*\s*$"
+#: An underscore that doesn't stand between two digits.
+LOOSE_UNDERSCORE = r"(^|[^0-9])_|_([^0-9]|$)"
+LAT_LON = r"(?im)^[-+]?([1-8]?\d(\.\d+)?|90(\.0+)?),\s*[-+]?(180(\.0+)?|((1[0-7]\d)|([1-9]?\d))(\.\d+)?)$"
+DEGREES = r"(?im)^[0-9]+°[0-9]+(′|')[0-9]+(″|''|′′)\s*[N|S](,)*\s*[0-9]+°[0-9]+(′|')[0-9]+(″|''|′′)\s*[W,E]"
+STREET = r"(?<!\d)\d++\s++\w++\s++(?:st(?:\.|reet)?|ave(?:nue)?|lane|dr(?:\.|ive)?)"
+HOUSE = r"^[\d]+[A-z\s,]+[\d]"
 HEX_COLOR = r"^#(?:[0-9a-fA-F]{3}){1,2}$"
 URL = r"https?:\/\/(www\.)?[-a-zA-Z0-9@:%._\+~#=]{2,256}\.[a-z]{2,6}\b"
-EMAIL = r"[a-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[a-z0-9!#$%&'*+/=?^_`{|}~-]+)*@(?:(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]*[a-z0-9])?|\[(?:\d{1,3}\.){3}\d{1,3}\])"
 OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: An address is looked for, not matched as a whole: the last character of its local part (or a quoted one), the at-sign, and the domain up
+#: to the first letter after its first full stop (or one in brackets) tell it.
+LOCAL = r"(?:[a-z0-9!#$%&'*+/=?^_`{|}~-]|\"(?:[\x01-\x08\x0b\x0c\x0e-\x1f\x21\x23-\x5b\x5d-\x7f]++|\\[\x01-\x09\x0b\x0c\x0e-\x7f])*+\")"
+DOMAIN = rf"(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.[a-z0-9]|\[(?:{OCTET}\.){{3}}(?:{OCTET}|[a-z0-9-]*[a-z0-9]:[\x01-\x08\x0b\x0c\x0e-\x1f\x21-\x7f]+)\])"
+EMAIL = f"{LOCAL}@{DOMAIN}"
 IPV4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
 IPV6 = r"^(([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|([0-9a-f]{1,4}:){1,7}:|([0-9a-f]{1,4}:){1,6}:[0-9a-f]{1,4}|([0-9a-f]{1,4}:){1,5}(:[0-9a-f]{1,4}){1,2}|([0-9a-f]{1,4}:){1,4}(:[0-9a-f]{1,4}){1,3}|([0-9a-f]{1,4}:){1,3}(:[0-9a-f]{1,4}){1,4}|([0-9a-f]{1,4}:){1,2}(:[0-9a-f]{1,4}){1,5}|[0-9a-f]{1,4}:(:[0-9a-f]{1,4}){1,6}|:((:[0-9a-f]{1,4}){1,7}|:))$"
 ISO8601 = r"^(-?(?:[1-9][0-9]*)?[0-9]{4})-(1[0-2]|0[1-9])-(3[01]|0[1-9]|[12][0-9])T(2[0-3]|[01][0-9]):([0-5][0-9]):([0-5][0-9])(\.[0-9]+)?(Z|[+-](?:2[0-3]|[01][0-9]):[0-5][0-9])?$"
@@ -28,16 +36,23 @@ DASHED = r"[0-9]+-[0-9]+-[0-9]+"
 #: Calendar dates that parse: year first, or day and month first; then at most a time and a zone.
 PARSED_DATE = r"^\s*(\d{4}-(0?[1-9]|1[0-2])-(0?[1-9]|[12]\d|3[01])|(0?[1-9]|[12]\d|3[01])-(0?[1-9]|1[0-2])-(\d{4}|\d{2})|(0?[1-9]|1[0-2])-(1[3-9]|2\d|3[01])-(\d{4}|\d{2}))([T ]\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?)?\s*(Z|[+-]\d{2}:?\d{2}|[AaPp][Mm])?\s*$"
 IMAGE = r"(?i)\.(" + "|".join(IMAGE_EXTENSIONS) + r")([?#].*)?$"
-PERSON = r"(?i)^([A-Z]\.\s*)+(\w+'*)+"
+#: An initial with a full stop, then a name or a further initial.
+PERSON = r"(?i)^[A-Z]\.\s*\w"
+#: An IPv4 address in the place of the last two groups of an IPv6 address.
+EMBEDDED = rf":{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
 
 
 def is_empty(v: Column) -> Column:
     return F.length(v) == 0
 
 
+def _matches_number(v: Column, pattern: str) -> Column:
+    return v.rlike(pattern) & ~(v.contains("_") & v.rlike(LOOSE_UNDERSCORE))
+
+
 def is_numeric(v: Column) -> Column:
     """What a float parser takes, with either comma or full stop."""
-    return (F.lower(v) != "nan") & ~(v.contains(".") & v.contains(",")) & F.replace(v, F.lit(","), F.lit(".")).rlike(NUMBER)
+    return (F.lower(v) != "nan") & ~(v.contains(".") & v.contains(",")) & _matches_number(F.replace(v, F.lit(","), F.lit(".")), NUMBER)
 
 
 def is_boolean(v: Column) -> Column:
@@ -45,12 +60,16 @@ def is_boolean(v: Column) -> Column:
 
 
 def _dashed(v: Column) -> Column:
-    return v.rlike(DASHED) & (F.length(v) - F.length(F.regexp_extract(v, f"({DASHED})", 1)) <= 19)
+    return v.rlike(f"(?<![0-9]){DASHED}") & (F.length(v) - F.length(F.regexp_extract(v, f"({DASHED})", 1)) <= 19)
 
 
 def is_date(v: Column) -> Column:
     """A month as the first word, or a dashed date with at most 19 other characters that parses."""
-    return F.substring_index(F.lower(v), " ", 1).isin(*MONTHS) | (_dashed(v) & v.rlike(PARSED_DATE) & ~is_numeric(v))
+    return F.substring_index(F.lower(v), " ", 1).isin(*MONTHS) | (v.rlike(PARSED_DATE) & _dashed(v) & ~is_numeric(v))
+
+
+#: No date that the general parser reads is longer.
+LONGEST_DATE = 200
 
 
 @F.pandas_udf(T.BooleanType())
@@ -69,7 +88,7 @@ def parses_as_date(s: pd.Series) -> pd.Series:
 
 
 def is_date_exact(v: Column) -> Column:
-    return F.substring_index(F.lower(v), " ", 1).isin(*MONTHS) | (_dashed(v) & ~is_numeric(v) & parses_as_date(v))
+    return F.substring_index(F.lower(v), " ", 1).isin(*MONTHS) | ((F.length(v) <= LONGEST_DATE) & _dashed(v) & ~is_numeric(v) & parses_as_date(v))
 
 
 def is_geo(v: Column) -> Column:
@@ -84,13 +103,18 @@ def is_no_annotation(v: Column) -> Column:
     return F.length(v) - F.length(F.replace(v, F.lit(","), F.lit(""))) > 1
 
 
+def bare(v: Column) -> Column:
+    """Words and single spaces of a short cell; null for one of 15 characters or more, which no rule on it takes."""
+    return F.when(F.length(v) < 15, _bare(v))
+
+
 def _bare(v: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(v, r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
 
 
-def is_id(v: Column) -> Column:
-    """Short codes: see each branch."""
-    x = _bare(v)
+def is_id(v: Column, x: Column | None = None) -> Column:
+    """Short codes: see each branch. ``x``: the cell's ``bare`` form, where it is at hand."""
+    x = bare(v) if x is None else x
     letters, digits = F.length(F.regexp_replace(x, "[^A-Za-z]", "")), F.length(F.regexp_replace(x, "[^0-9]", ""))
     spaces, n, upper = F.length(F.regexp_replace(x, r"(?U)[^\s]", "")), F.length(x), x == F.upper(x)
     one = (spaces == 0) & (((digits > 0) & (letters > 0) & (n < 5)) | (upper & (letters > 0) & ((n < 6) | ((n < 7) & (digits == 0)))))
@@ -115,7 +139,8 @@ def is_hex_color(v: Column) -> Column:
 
 
 def is_ip(v: Column) -> Column:
-    return v.rlike(IPV4) | F.lower(v).rlike(IPV6)
+    six = F.regexp_replace(F.lower(v), EMBEDDED, ":0:0")
+    return (F.length(v) < 50) & (v.rlike(IPV4) | six.rlike(IPV6))
 
 
 def _luhn(digits: Column) -> Column:
@@ -149,8 +174,8 @@ def is_iso8601(v: Column) -> Column:
     return v.rlike(ISO8601)
 
 
-def is_currency(v: Column) -> Column:
-    return (F.length(v) < 15) & _bare(v).isin(*CURRENCIES)
+def is_currency(v: Column, x: Column | None = None) -> Column:
+    return (F.length(v) < 15) & (bare(v) if x is None else x).isin(*CURRENCIES)
 
 
 def is_airport(v: Column, codes: Column | None) -> Column:
@@ -168,11 +193,11 @@ def is_person(v: Column) -> Column:
 
 
 def is_float(v: Column) -> Column:
-    return v.rlike(NUMBER)
+    return _matches_number(v, NUMBER)
 
 
 def is_integer(v: Column) -> Column:
-    return v.rlike(r"^\s*[+-]?\d+(_\d+)*\s*$")
+    return _matches_number(v, INTEGER)
 
 
 #: Type and predicate in order.
@@ -188,10 +213,16 @@ XSD = {"numeric": ["float", "integer", "double"], "url": ["anyURI"], "boolean":
 XSD_BASE = "http://www.w3.org/2001/XMLSchema#"
 
 
-def cell_type(v: Column, airports: Column | None = None, exact_dates: bool = False) -> Column:
-    """The semantic type of a cell, '' for none. ``airports``: an array of codes."""
-    rules = [(k, is_date_exact if k == "date" and exact_dates else f) for k, f in ORDER] + [("iata", lambda x: is_airport(x, airports))]
-    return reduce(lambda rest, r: F.when(r[1](v), F.lit(r[0])).otherwise(rest), reversed(rules), F.lit(""))
+def cell_type(v: Column, airports: Column | None = None, exact_dates: bool = False, x: Column | None = None) -> Column:
+    """The semantic type of a cell, '' for none. ``airports``: an array of codes; ``x``: see ``with_type``."""
+    rules = [(k, is_date_exact if k == "date" and exact_dates else f) for k, f in ORDER] + [("iata", lambda v: is_airport(v, airports))]
+    test = lambda k, f: f(v, x) if k in ("id", "currency") else f(v)
+    return reduce(lambda rest, r: F.when(test(*r), F.lit(r[0])).otherwise(rest), reversed(rules), F.lit(""))
+
+
+def with_type(df: DataFrame, value: str, airports: Column | None = None, exact_dates: bool = False) -> DataFrame:
+    """The frame with cell_type; the form that several rules look at is worked out once per row, in a projection below."""
+    return df.withColumn("_bare", bare(F.col(value))).withColumn("cell_type", cell_type(F.col(value), airports, exact_dates, F.col("_bare"))).drop("_bare")
 
 
 def xsd_types(kind: Column) -> Column:

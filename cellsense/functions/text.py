@@ -49,8 +49,20 @@ def long_words(c: Column) -> Column:
 
 
 def bag(tokens: Column) -> Column:
-    """Bag of words of an array: map from word to count."""
-    return F.map_from_entries(F.transform(F.array_distinct(tokens), lambda w: F.struct(w, F.size(F.filter(tokens, lambda x: x == w)))))
+    """Bag of words of an array: map from word to count. Equal words stand side by side once sorted, so one pass over the sorted array
+    finds where each begins; its count is the distance to the next beginning."""
+    def counted(xs: Column) -> Column:
+        places = F.transform(xs, lambda x, i: F.when((i == 0) | (x != F.get(xs, i - 1)), i))
+        starts = F.concat(F.array_compact(places), F.array(F.size(xs)))
+        each = F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), lambda a, k: F.struct(F.get(xs, a).alias("word"), (F.get(starts, k + 1) - a).alias("n")))
+        return F.map_from_entries(each)
+
+    return F.transform(F.array(F.array_sort(tokens)), counted)[0]
+
+
+def bags(cell: Column, entity: Column, abstract: Column) -> Column:
+    """The three bags that a candidate is scored by: of the cell, the entity's name and its abstract."""
+    return F.struct(bag(words(cell)).alias("cell"), bag(words(entity)).alias("entity"), bag(words(abstract)).alias("abstract"))
 
 
 def bag_of_words(df: DataFrame, keys: list[str], text: Column) -> DataFrame:

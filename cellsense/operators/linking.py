@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.celltypes import NUMBER
+from ..functions.celltypes import is_float
 from ..functions.similarity import candidate_score, edit_distance
 
 ROW = ["table_id", "row_idx"]
@@ -49,7 +49,7 @@ def match_entities(subjects: DataFrame, objects: DataFrame, triples: DataFrame,
 
 
 def _number(c: Column) -> Column:
-    return F.when(c.rlike(NUMBER), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
+    return F.when(is_float(c), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def fuzzy_equal(cell: Column, literal: Column, clean_literal: Column) -> Column:

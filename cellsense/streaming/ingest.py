@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.celltypes import cell_type
+from ..functions.celltypes import with_type
 from ..sources.tables import CELLS, _json_cells, _table_name
 
 
@@ -17,7 +17,7 @@ def stream_json_tables(spark: SparkSession, path: str, files_per_trigger: int =
 
 def typed_stream(cells: DataFrame) -> DataFrame:
     """Cells with their type; no state is kept."""
-    return cells.withColumn("cell_type", cell_type(F.trim("value_raw")))
+    return with_type(cells.withColumn("_value", F.trim("value_raw")), "_value").drop("_value")
 
 
 def type_counts(cells: DataFrame) -> DataFrame:
