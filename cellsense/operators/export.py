@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.celltypes import XSD_BASE
@@ -72,25 +74,28 @@ def rdf_triples(cells: DataFrame, columns: DataFrame, links: DataFrame, subjects
 
 
 def _escaped(c: Column) -> Column:
-    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    for plain, mark in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        c = F.replace(c, F.lit(plain), F.lit(mark))
+    return c
 
 
 def ntriples(triples: DataFrame) -> DataFrame:
     """(value): one N-Triples line per triple; valid Turtle and N3 as well."""
     literal = F.concat(F.lit('"'), _escaped(F.col("o")), F.lit('"'), F.coalesce(F.concat(F.lit("^^<"), "o_datatype", F.lit(">")), F.lit("")))
-    return triples.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), F.when(F.col("o_kind") == "uri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(literal), F.lit(" .")).alias("value"))
+    node = lambda c: F.when(F.col(c).startswith("_:"), F.concat(F.lit("_:"), _node_id(F.col(c)))).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+    return triples.select(F.concat(node("s"), F.lit(" <"), "p", F.lit("> "), F.when(F.col("o_kind") == "literal", literal).otherwise(node("o")), F.lit(" .")).alias("value"))
 
 
 def turtle(triples: DataFrame) -> DataFrame:
     """(value): one Turtle block per subject."""
-    line = F.regexp_extract("value", r"^<[^>]*> (.*) \.$", 1)
-    rows = ntriples(triples).select(F.regexp_extract("value", r"^(<[^>]*>)", 1).alias("s"), line.alias("po"))
+    line = F.regexp_extract("value", r"^\S+ ((?s:.*)) \.$", 1)
+    rows = ntriples(triples).select(F.substring_index("value", " ", 1).alias("s"), line.alias("po"))
     return rows.groupBy("s").agg(F.array_join(F.array_sort(F.collect_list("po")), " ;\n    ").alias("po")).select(F.concat("s", F.lit(" "), "po", F.lit(" .")).alias("value"))
 
 
 def json_ld(triples: DataFrame) -> DataFrame:
     """(value): one JSON-LD object per subject."""
-    node = F.when(F.col("o_kind") == "uri", F.to_json(F.struct(F.col("o").alias("@id")))).otherwise(F.to_json(F.struct(F.col("o").alias("@value"), F.col("o_datatype").alias("@type"))))
+    node = F.when(F.col("o_kind") != "literal", F.to_json(F.struct(F.col("o").alias("@id")))).otherwise(F.to_json(F.struct(F.col("o").alias("@value"), F.col("o_datatype").alias("@type"))))
     by_p = triples.groupBy("s", "p").agg(F.array_sort(F.collect_list(node)).alias("o"))
     pair = F.concat(F.to_json(F.struct(F.col("p").alias("k"))), F.lit(""))
     key = F.regexp_extract(pair, r'^\{"k":(.*)\}$', 1)
@@ -99,16 +104,51 @@ def json_ld(triples: DataFrame) -> DataFrame:
 
 
 def rdf_xml(triples: DataFrame) -> DataFrame:
-    """(value): one rdf:Description per subject, between a head and a foot line that the writer adds."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    space, name = F.regexp_extract("p", r"^(.*[/#])([^/#]*)$", 1), F.regexp_extract("p", r"^(.*[/#])([^/#]*)$", 2)
-    start = F.concat(F.lit("  <n:"), name, F.lit(' xmlns:n="'), esc(space), F.lit('"'))
-    body = F.when(F.col("o_kind") == "uri", F.concat(start, F.lit(' rdf:resource="'), esc(F.col("o")), F.lit('"/>'))).otherwise(F.concat(start, F.coalesce(F.concat(F.lit(' rdf:datatype="'), "o_datatype", F.lit('"')), F.lit("")), F.lit(">"), esc(F.col("o")), F.lit("</n:"), name, F.lit(">")))
-    rows = triples.select(esc(F.col("s")).alias("s"), body.alias("b")).groupBy("s").agg(F.array_join(F.array_sort(F.collect_list("b")), "\n").alias("b"))
-    return rows.select(F.concat(F.lit('<rdf:Description rdf:about="'), "s", F.lit('">\n'), "b", F.lit("\n</rdf:Description>")).alias("value"))
+    """(value): one rdf:Description per subject; ``write_rdf`` puts the root element around those of a file.
+
+    The name of an element is the predicate's longest end that is a name; a predicate without such an end can't be written as XML and
+    raises an error. Characters that XML can't hold are replaced."""
+    bad = "".join(chr(i) for i in range(32) if i not in (9, 10, 13))
+    marks = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;"))
+
+    def esc(c: Column) -> Column:
+        c = F.translate(c, bad, "\ufffd" * len(bad))
+        for plain, mark in marks:
+            c = F.replace(c, F.lit(plain), F.lit(mark))
+        return c
+
+    name = F.regexp_extract("p", r"([A-Za-z_][A-Za-z0-9_.-]*+)$", 1)
+    space = F.substr("p", F.lit(1), F.length("p") - F.length(name))
+    told = F.when(name == "", F.raise_error(F.concat(F.lit("no XML name in "), "p"))).otherwise(name)
+    start = F.concat(F.lit("  <n:"), told, F.lit(' xmlns:n="'), esc(space), F.lit('"'))
+    node = F.when(F.col("o").startswith("_:"), F.concat(F.lit(' rdf:nodeID="'), _node_id(F.col("o")), F.lit('"/>'))).otherwise(F.concat(F.lit(' rdf:resource="'), esc(F.col("o")), F.lit('"/>')))
+    text = F.concat(start, F.coalesce(F.concat(F.lit(' rdf:datatype="'), esc(F.col("o_datatype")), F.lit('"')), F.lit("")), F.lit(">"), esc(F.col("o")), F.lit("</n:"), told, F.lit(">"))
+    body = F.when(F.col("o_kind") == "literal", text).otherwise(F.concat(start, node))
+    about = F.when(F.col("s").startswith("_:"), F.concat(F.lit('rdf:nodeID="'), _node_id(F.col("s")))).otherwise(F.concat(F.lit('rdf:about="'), esc(F.col("s"))))
+    rows = triples.select(about.alias("s"), body.alias("b")).groupBy("s").agg(F.array_join(F.array_sort(F.collect_list("b")), "\n").alias("b"))
+    return rows.select(F.concat(F.lit("<rdf:Description "), "s", F.lit('">\n'), "b", F.lit("\n</rdf:Description>")).alias("value"))
+
+
+def _node_id(c: Column) -> Column:
+    return F.concat(F.lit("b"), F.regexp_replace(c, "[^A-Za-z0-9]", "_"))
 
 
 FORMATS = {"nt": ntriples, "n3": ntriples, "turtle": turtle, "json-ld": json_ld, "xml": rdf_xml}
+#: What stands before, between and after the rows of a file, so that each file is a document of its format.
+FRAMES = {"xml": ('<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">', "", "</rdf:RDF>"), "json-ld": ("[", ",", "]")}
+
+
+def _framed(rows: DataFrame, head: str, between: str, foot: str) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": [head]})
+        first = True
+        for b in batches:
+            lead = [("" if first and i == 0 else between) + v for i, v in enumerate(b.value)]
+            first = first and not lead
+            yield pd.DataFrame({"value": lead})
+        yield pd.DataFrame({"value": [foot]})
+
+    return rows.mapInPandas(run, "value string")
 
 
 def write_csv(rows: DataFrame, path: str, append: bool = False) -> None:
@@ -117,7 +157,9 @@ def write_csv(rows: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_rdf(triples: DataFrame, path: str, fmt: str = "nt") -> None:
-    FORMATS[fmt](triples).write.mode("overwrite").text(path)
+    """One document per partition: every file of the folder can be read on its own."""
+    rows = FORMATS[fmt](triples)
+    (_framed(rows, *FRAMES[fmt]) if fmt in FRAMES else rows).write.mode("overwrite").text(path)
 
 
 def export_name(kind: str, ext: str, day: datetime.date | None = None) -> str:
@@ -144,6 +186,35 @@ def subject_first(cells: DataFrame, subjects: DataFrame) -> DataFrame:
     return to_rows(marked, "value", F.when(F.col("col_idx") == F.col("subject_col"), -1).otherwise(F.col("col_idx")).cast("int"))
 
 
-def log_record(kind: str, body: Column, table: Column) -> Column:
-    """A log entry, for a frame of run messages."""
-    return F.struct(F.lit(kind).alias("type"), body.alias("body"), table.alias("table"))
+LOG = "task_id string, group string, type string, body string, table_id string, table_name string"
+
+
+def log_record(kind: str, body: Column, table: Column, name: Column | None = None, group: str = "errors", task: str = "") -> Column:
+    """A log entry of a run (``task``), for a frame of messages. An empty kind is refused."""
+    if not kind:
+        raise ValueError("a log entry needs a type")
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(task).alias("task_id"), F.lit(group).alias("group"), F.lit(kind).alias("type"), body.alias("body"), table.cast("string").alias("table_id"), (none if name is None else name).alias("table_name"))
+
+
+def query_log(query: Column, error: Column, table: Column, task: str = "") -> Column:
+    """The entry of a graph query that failed."""
+    return log_record("sparql", F.concat(F.lit("Error: "), error, F.lit("\nQuery:\n"), query), table, task=task)
+
+
+def lookup_log(text: Column, error: Column, table: Column, task: str = "") -> Column:
+    """The entry of a keyword lookup that failed."""
+    return log_record("lookup", F.concat(F.lit("Error: "), error, F.lit("\nText: "), text), table, task=task)
+
+
+def write_log(entries: DataFrame, path: str) -> None:
+    """Append entries (column ``log``) to the log, a folder of JSON lines per run; entries without a body and warnings are not kept."""
+    rows = entries.select("log.*").where((F.length("body") > 0) & (F.col("group") == "errors"))
+    rows.write.mode("append").partitionBy("task_id").json(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(task_id, errors): the entries of each run."""
+    rows = spark.read.schema(LOG).json(path)
+    entry = F.struct("type", "body", "table_id", "table_name")
+    return rows.groupBy("task_id").agg(F.array_sort(F.collect_list(entry)).alias("errors"))

@@ -43,9 +43,20 @@ def read_json_tables(spark: SparkSession, path: str) -> DataFrame:
     """Tables stored as one JSON array of objects per file; the first object names the columns, missing keys are empty,
     other keys are dropped. One file is one table, so files are the unit of work."""
     texts = spark.read.text(path, wholetext=True).select(_table_name(F.input_file_name()).alias("table_id"), "value")
+    return json_cells(texts)
+
+
+def json_cells(texts: DataFrame) -> DataFrame:
+    """Cells of texts(table_id, value), each a JSON array of objects, at hand."""
     return texts.mapInPandas(_json_cells, CELLS)
 
 
+def unread_json_tables(spark: SparkSession, path: str) -> DataFrame:
+    """(table_id) of the files that ``read_json_tables`` leaves out, as they hold no list of objects."""
+    texts = spark.read.text(path, wholetext=True).select(_table_name(F.input_file_name()).alias("table_id"), "value")
+    return texts.where(F.from_json("value", "array<map<string,string>>").isNull()).select("table_id")
+
+
 def read_corpus(spark: SparkSession, root: str, tag: str) -> DataFrame:
     """The tables of a gold-standard corpus, with its tag."""
     return read_json_tables(spark, f"{root}/{tag}/converted/*.json").withColumn("gs_type", F.lit(tag))
@@ -62,13 +73,22 @@ def read_csv_strict(spark: SparkSession, path: str, sep: str = ",", quote: str =
     return _csv(spark, path, sep, quote, "utf-8", lambda t: t.replace('\\"', "'"))
 
 
+#: Encoding and mending of files that aren't clean.
+TOLERANT = ("iso-8859-1", lambda t: t.replace("\0", ""))
+
+
 def read_csv_tolerant(spark: SparkSession, path: str, sep: str = ",", quote: str = '"') -> DataFrame:
     """(table_id, row_idx, fields): Latin-1, NUL bytes removed, empty rows dropped."""
-    return _csv(spark, path, sep, quote, "iso-8859-1", lambda t: t.replace("\0", ""))
+    return _csv(spark, path, sep, quote, *TOLERANT)
 
 
 def _csv(spark: SparkSession, path: str, sep: str, quote: str, encoding: str, mend) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select(_table_name(F.col("path")).alias("table_id"), "content")
+    return csv_rows(files, sep, quote, encoding, mend)
+
+
+def csv_rows(files: DataFrame, sep: str = ",", quote: str = '"', encoding: str = "utf-8", mend=lambda t: t.replace('\\"', "'")) -> DataFrame:
+    """(table_id, row_idx, fields) of files(table_id, content) at hand, by default as ``read_csv_strict``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
@@ -133,7 +153,15 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")).orderBy("name")
 
 
-INFO_TABLE = "table_name string, subject_col int, subject_cols_paper array<int>, ne_cols array<struct<index:int,header:string,type:string>>, lit_cols array<struct<index:int,header:string,type_freq_table:array<struct<name:string,occurrences:long,rate:double>>>>, no_ann_cols array<struct<index:int,header:string,type:string>>"
+#: A column catalogue: entity columns with scores, type and winning concepts, literal columns with patterns, schema types and
+#: frequencies, columns without annotation.
+INFO_TABLE = (
+    "table_name string, subject_col int, subject_cols_paper array<int>, "
+    "ne_cols array<struct<index:int,header:string,score:struct<emc:double,uc:double,aw:double,df:double,emcNorm:double,ucNorm:double,awNorm:double,dfNorm:double,finalScore:double,finalScore_paper:array<double>>,type:string,winning_concepts:map<string,double>>>, "
+    "lit_cols array<struct<index:int,header:string,regex_type:array<string>,data_type:array<struct<label:string,uri:string>>,"
+    "type_freq_table:array<struct<name:string,occurrences:long,rate:double>>>>, "
+    "no_ann_cols array<struct<index:int,header:string,type:string>>"
+)
 
 
 def read_info_tables(spark: SparkSession, path: str) -> DataFrame:
@@ -172,5 +200,14 @@ def to_rows(cells: DataFrame, value: str = "value_raw", order: Column | None = N
 
 
 def row_numbers(df: DataFrame, table: str, key: str) -> DataFrame:
-    """Row numbers from 0 by a key, for tables whose key isn't a number."""
-    return df.withColumn("row_idx", F.row_number().over(Window.partitionBy(table).orderBy(key)) - 1)
+    """Row numbers from 0 by a key, for tables whose key isn't a number.
+
+    Rows are dealt by ranges of (table, key), numbered within each range, and moved on by the rows of the table's ranges before,
+    so a table of any size is numbered by many tasks. Rows with equal keys are numbered in any order."""
+    ranged = df.repartitionByRange(F.col(table), F.col(key)).withColumn("_part", F.spark_partition_id())
+    counts = ranged.groupBy(table, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(table).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col(table).alias("_table"), F.col("_part").alias("_at"), F.coalesce(before, F.lit(0)).alias("_start"))
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy(table, "_part").orderBy(key)) - 1)
+    out = local.join(starts, F.col(table).eqNullSafe(F.col("_table")) & (F.col("_part") == F.col("_at")))
+    return out.withColumn("row_idx", (F.col("_start") + F.col("_local")).cast("long")).drop("_part", "_at", "_table", "_start", "_local")
