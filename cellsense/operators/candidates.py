@@ -19,16 +19,26 @@ BLOCKED_O = ("http://www.wikidata.org/", "http://commons.wikimedia.org/")
 
 
 def token_index(labels: DataFrame) -> DataFrame:
-    """(token, s, label) of labels(s, label)."""
-    return labels.select("s", "label", F.explode(F.array_distinct(long_words(F.lower("label")))).alias("token"))
+    """(token, s, label, words) of labels(s, label)."""
+    words = F.array_distinct(long_words(F.lower("label")))
+    return labels.select("s", "label", words.alias("words")).select("s", "label", "words", F.explode("words").alias("token"))
 
 
 def text_match(queries: DataFrame, labels: DataFrame, any_word: bool = False) -> DataFrame:
-    """(q, s, label) of labels that hold all words of the query, or any of them."""
-    asked = queries.select("q", F.array_distinct(long_words(F.lower("q"))).alias("words")).where(F.size("words") > 0)
-    need = asked.select("q", F.size("words").alias("need"), F.explode("words").alias("token"))
-    hits = need.join(token_index(labels), "token").groupBy("q", "s", "label", "need").agg(F.count(F.lit(1)).alias("n"))
-    return hits.where(F.lit(True) if any_word else F.col("n") == F.col("need")).select("q", "s", "label")
+    """(q, s, label) of labels that hold all words of the query, or any of them.
+
+    For all words, a query meets the index in its rarest word only, and the labels met there are tested for the others: a word
+    that stands in most labels joins nothing unless it is a query's only one."""
+    asked = queries.select("q", F.array_distinct(long_words(F.lower("q"))).alias("asked")).where(F.size("asked") > 0)
+    need = asked.select("q", "asked", F.explode("asked").alias("token"))
+    index = token_index(labels)
+    if any_word:
+        return need.select("q", "token").join(index.select("token", "s", "label"), "token").select("q", "s", "label").distinct()
+    counts = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    known = need.join(counts, "token").groupBy("q", "asked").agg(F.min(F.struct("df", "token")).alias("best"), F.count(F.lit(1)).alias("n"))
+    rarest = known.where(F.col("n") == F.size("asked")).select("q", "asked", F.col("best.token").alias("token"))
+    hits = rarest.join(index, "token").where(F.size(F.array_except("asked", "words")) == 0)
+    return hits.select("q", "s", "label").distinct()
 
 
 def top_by_length(matches: DataFrame, k: int = TOP, keys: tuple[str, ...] = ("q",)) -> DataFrame:
@@ -106,6 +116,44 @@ def subgraph(cands: DataFrame, triples: DataFrame) -> DataFrame:
     return allowed(out.unionByName(back)).distinct()
 
 
+#: What a raw subgraph leaves out: subjects, predicates and objects by their beginning (fixed values).
+RAW_SUBJECTS = ("http://dbpedia.org/resource/Category:", "http://dbpedia.org/property/", "http://dbpedia.org/ontology/")
+RAW_PREDICATES = (
+    "http://dbpedia.org/ontology/wikiPageID", "http://dbpedia.org/ontology/wikiPageRevisionID", "http://www.w3.org/2002/07/owl#sameAs",
+    "http://dbpedia.org/ontology/wikiPageRedirects", "http://www.w3.org/ns/prov#wasDerivedFrom", "http://xmlns.com/foaf/0.1/isPrimaryTopicOf",
+    "http://www.w3.org/2000/01/rdf-schema#comment", "http://dbpedia.org/ontology/abstract",
+)
+RAW_OBJECTS = ("http://dbpedia.org/class/yago/",)
+
+
+def _without(rows: DataFrame) -> DataFrame:
+    for c, starts in (("s", RAW_SUBJECTS), ("p", RAW_PREDICATES), ("o", RAW_OBJECTS)):
+        for x in starts:
+            rows = rows.where(~F.col(c).startswith(x))
+    return rows
+
+
+def raw_subgraph(queries: DataFrame, triples: DataFrame, names: tuple[str, ...], any_word: bool = False) -> DataFrame:
+    """(q, s, p, o): the triples of all subjects that the text finds under any of the predicates ``names`` (label, name), each once."""
+    labels = triples.where(F.col("p").isin(*names)).select("s", F.col("o").alias("label"))
+    found = text_match(queries, labels, any_word).select("q", "s").distinct()
+    return _without(found.join(triples.select("s", "p", "o"), "s").select("q", "s", "p", "o")).distinct()
+
+
+def person_subgraph(people: DataFrame, triples: DataFrame, label: str, redirect: str) -> DataFrame:
+    """(q, s, p, o) by people(q, prefix, surname): triples of subjects whose label holds the surname and starts with the prefix, of
+    what such labels redirect to, and triples that point at such subjects."""
+    labels = triples.where(F.col("p") == label).select("s", F.col("o").alias("label"))
+    hits = text_match(people.select(F.col("surname").alias("q")).distinct(), labels).withColumnRenamed("q", "surname").join(people, "surname")
+    hits = hits.where(F.startswith(F.lower("label"), F.lower("prefix"))).select("q", "s").distinct()
+    graph = triples.select("s", "p", "o")
+    target = triples.where(F.col("p") == redirect).select("s", F.col("o").alias("to"))
+    subjects = hits.unionByName(hits.join(target, "s").select("q", F.col("to").alias("s"))).distinct()
+    out = subjects.join(graph, "s").select("q", "s", "p", "o")
+    back = hits.select("q", F.col("s").alias("o")).join(graph, "o").select("q", "s", "p", "o")
+    return _without(out.unionByName(back)).distinct()
+
+
 def describe(triples: DataFrame, uri: str, without: tuple[str, ...] = ()) -> DataFrame:
     """The triples of one resource, without some predicates."""
     return triples.where((F.col("s") == uri) & ~F.col("p").isin(*without)) if without else triples.where(F.col("s") == uri)

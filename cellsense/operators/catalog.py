@@ -46,6 +46,16 @@ def rows_view(cells: DataFrame, value: str = "value_raw") -> DataFrame:
     return to_rows(cells, value)
 
 
+def raw_download(cells: DataFrame, table_id: str, value: str = "value_raw") -> DataFrame:
+    """(row_idx, line) of a table as CSV text in the order of its rows, the header first (row -1); all fields quoted."""
+    one = cells.where(F.col("table_id") == table_id)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", F.col(c).alias("v")))), lambda x: quoted(x.v)), ",")
+    head = one.select("col_idx", "header").distinct().groupBy(F.lit(-1).cast("long").alias("row_idx")).agg(line("header").alias("line"))
+    rows = one.groupBy(F.col("row_idx").cast("long").alias("row_idx")).agg(line(value).alias("line"))
+    return head.unionByName(rows).orderBy("row_idx")
+
+
 def preparation_view(cells: DataFrame) -> DataFrame:
     """(table_id, row_idx, cells): value, type, and the original where it was changed."""
     one = F.struct("col_idx", "value", "cell_type", F.when(F.col("comment") != "", F.col("comment")).alias("comment"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.celltypes import cell_type
+from ..functions.celltypes import LONGEST_DATE, with_type
 from ..functions.text import clean_text, query_text
 
 #: Lexicons are broadcast up to this number of rows; larger ones are joined by a shuffle.
@@ -24,21 +28,57 @@ def expand_abbreviations(cells: DataFrame, abbreviations: DataFrame, value: str
     return joined.withColumn(value, F.coalesce("expansion", F.trim(F.col(value)))).drop("key", "expansion")
 
 
-def convert(text: Column, original: Column, kind: Column) -> Column:
-    """The value by type: numbers lose commas, dates become year-day-month, others stay."""
-    day = F.coalesce(*[F.try_to_timestamp(original, F.lit(f)) for f in ("yyyy-M-d", "d-M-yyyy", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s'Z'", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "MMMM yyyy")])
-    return F.when(kind == "numeric", F.replace(text, F.lit(","), F.lit(""))).when(kind == "date", F.coalesce(F.date_format(day, "yyyy-dd-MM"), text)).otherwise(text)
+#: Formats of dates that are read without Python, and of the result.
+DATE_FORMATS = ("yyyy-M-d", "d-M-yyyy", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s'Z'")
+DATE_RESULT = "yyyy-dd-MM"
+
+
+def general_date(today: datetime.date | None = None):
+    """A column function: any date that the general parser reads, as text of year, day and month; null for others. What a date leaves
+    open is taken from ``today``."""
+    day = today or datetime.date.today()
+
+    @F.pandas_udf(T.StringType())
+    def read(s: pd.Series) -> pd.Series:
+        from dateutil import parser
+
+        default = datetime.datetime.combine(day, datetime.time())
+
+        def one(x: str) -> str | None:
+            try:
+                d = parser.parse(x, default=default)
+            except (ValueError, OverflowError, TypeError):
+                return None
+            return f"{d.year:04}-{d.day:02}-{d.month:02}"
+
+        return s.map(one, na_action="ignore")
+
+    return read
+
+
+def convert(text: Column, original: Column, kind: Column, today: datetime.date | None = None) -> Column:
+    """The value by type: numbers lose commas, dates become year-day-month, others (and dates that don't parse) stay. Only what
+    no format reads goes to the general parser."""
+    day = F.date_format(F.coalesce(*[F.try_to_timestamp(original, F.lit(f)) for f in DATE_FORMATS]), DATE_RESULT)
+    rest = general_date(today)(F.when((kind == "date") & day.isNull() & (F.length(original) <= LONGEST_DATE), original))
+    return F.when(kind == "numeric", F.replace(text, F.lit(","), F.lit(""))).when(kind == "date", F.coalesce(day, rest, text)).otherwise(text)
+
+
+#: A text that fills a column is worked out in so many tasks at most, not in one.
+SALTS = 16
 
 
-def prepare(cells: DataFrame, abbreviations: DataFrame | None = None, airports: Column | None = None) -> DataFrame:
+def prepare(cells: DataFrame, abbreviations: DataFrame | None = None, airports: Column | None = None, today: datetime.date | None = None) -> DataFrame:
     """Add value, value_original, value_for_query, cell_type and comment to cells(table_id, row_idx, col_idx, header, value_raw).
 
-    Types and clean texts are worked out once per distinct text and joined back, so a text that fills a column is tokenised once."""
+    Types and clean texts are worked out once per distinct text (and salt, so that a frequent text is no task's only key) and joined
+    back, so a text that fills a column is tokenised a few times."""
     expanded = expand_abbreviations(cells, abbreviations) if abbreviations is not None else cells.withColumn("value_raw", F.trim("value_raw"))
-    texts = expanded.select("value_raw").distinct()
-    typed = texts.withColumn("cell_type", cell_type(F.col("value_raw"), airports)).withColumn("_clean", clean_text("value_raw"))
-    typed = typed.withColumn("value", convert(F.col("_clean"), F.col("value_raw"), F.col("cell_type"))).withColumn("value_for_query", query_text(F.col("_clean"))).drop("_clean")
-    out = expanded.join(typed, "value_raw")
+    expanded = expanded.withColumn("_salt", F.pmod(F.xxhash64("table_id", "row_idx"), F.lit(SALTS)))
+    texts = expanded.select("value_raw", "_salt").distinct()
+    typed = with_type(texts, "value_raw", airports).withColumn("_clean", clean_text("value_raw"))
+    typed = typed.withColumn("value", convert(F.col("_clean"), F.col("value_raw"), F.col("cell_type"), today)).withColumn("value_for_query", query_text(F.col("_clean"))).drop("_clean")
+    out = expanded.join(typed, ["value_raw", "_salt"]).drop("_salt")
     return out.withColumn("value_original", F.col("value_raw")).withColumn("comment", F.when(F.col("value") != F.col("value_raw"), F.col("value_raw")).otherwise(F.lit("")))
 
 
