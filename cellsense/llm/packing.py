@@ -8,7 +8,8 @@ the slack. What is left when a task ends (under one window) is cut at powers of
 One pass, no shuffle: memory is bounded by the buffer, and a lost task repeats with the same result.
 
 Defined cases: null text is the empty text (one end id); a null doc_id stays null; repeated rows are packed as
-often as they come; an empty table gives no rows; other columns are not read.
+often as they come; pieces of equal length (ties) leave in the order they came; texts of any length are tokenised whole; a task's tail makes at
+most 11 sequences shorter than a window; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ and solved. A part of the sample that the ridge fit doesn't see calibrates the s
 by straight lines between its steps. Scoring is one pass without a shuffle.
 
 Defined cases: null and empty texts have the statistics of a text without words; without labels of both classes every score is 0.5;
-null labels and label rows without a document are not used; repeated rows score alike; an empty table gives no
-rows; only id and text of the documents are read.
+null labels and label rows without a document are not used; of several labels of an id the largest counts; repeated rows score alike; a tie
+(score 0.5) is predicted 1; texts of any length are measured whole, one at a time; an empty table gives no rows; only id and text of the documents are read.
 """
 
 from __future__ import annotations

@@ -8,9 +8,9 @@ guarded, as a small histogram is far from any reference by chance alone.
 
 Both passes work on whole texts, without a shuffle of rows: the first sends one sum per (language, cell) and task.
 
-Defined cases: null and empty texts have no words and fail the base rule; null languages give no reference;
-repeated rows are judged alike; an empty table gives no rows; other columns are not read by ``judge`` and kept by
-``keep``.
+Defined cases: null and empty texts have no words and fail the base rule; null languages give no reference, and without a column
+``lang`` all documents give one; repeated rows are judged alike; a distance at its limit (a tie) passes; texts of any length are read whole,
+one at a time; an empty table gives no rows; other columns are not read by ``judge`` and kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def references(docs: DataFrame, guard_words: int = GUARD_WORDS) -> dict[str, tup
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["lang", "counts"])
 
     short_batches(docs.sparkSession)
-    cells = docs.select("lang", "text").mapInArrow(run, "lang string, counts array<long>")
+    cells = docs.select("lang" if "lang" in docs.columns else F.lit("").alias("lang"), "text").mapInArrow(run, "lang string, counts array<long>")
     total = cells.groupBy("lang").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(size)])
     table = total.toArrow()  # one row of fixed size per language
     counts = np.array([c.to_numpy() for c in table.columns[1:]], dtype=np.float64).T
@@ -139,6 +139,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", refs: dict | None = None, max
 def keep(docs: DataFrame, **limits) -> DataFrame:
     """The documents that pass, with their columns."""
     names = {c: f"_doc{i}" for i, c in enumerate(docs.columns)}
-    renamed = docs.select(*[F.col(c).alias(k) for c, k in names.items()], F.col("text"), F.col("lang"))
+    renamed = docs.select(*[F.col(c).alias(k) for c, k in names.items()], F.col("text"), F.col("lang") if "lang" in docs.columns else F.lit("").alias("lang"))
     judged = judge(renamed, carry=list(names.values()), **limits)
     return judged.where("kept").select(*[F.col(k).alias(c) for c, k in names.items()])

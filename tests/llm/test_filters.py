@@ -63,6 +63,12 @@ def test_every_language_has_a_reference(spark, tmp_path):
     assert len(quality_rules.references(docs)) == 20 and quality_rules.keep(docs).where("lang >= 'l16'").count() == 8
 
 
+def test_rules_without_a_language_column(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").drop("lang")
+    kept = quality_rules.keep(docs)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
 def test_empty_tables(none, spark):
     assert quality_rules.judge(none).count() == 0 and quality_rules.keep(none).columns == none.columns
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
