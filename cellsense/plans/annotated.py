@@ -20,22 +20,27 @@ from .queries import (
 # twin with all the same triples (a tie, which the smaller address wins); every third customer has a second, rarer predicate to its nation.
 
 
+def _land(key: str):
+    """A nation's name as the table and the graph have it."""
+    return F.concat(F.lit("Land "), (F.col(key) + 100).cast("string"))
+
+
 def _web_table(spark, d):
-    c = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # the fixed 25 nations
-    k = F.col("c_custkey")
+    c, k = read(spark, d, "customer"), F.col("c_custkey")
     name = F.when(k % 10 == 0, F.concat(F.lit("Nobody "), k.cast("string"), F.lit(" unknown"))).otherwise(F.col("c_name"))
     balance = F.when(k % 7 == 0, F.round(F.col("c_acctbal") + 0.1, 2)).otherwise(F.col("c_acctbal"))
-    return tables.to_cells(c.select(k, name.alias("name"), F.initcap(F.lower("n_name")).alias("nation"), balance.alias("balance")), "customers", "c_custkey")
+    return tables.to_cells(c.select(k, name.alias("name"), _land("c_nationkey").alias("nation"), balance.alias("balance")), "customers", "c_custkey")
 
 
 def _web_graph(spark, d):
     c = read(spark, d, "customer")
     u = lambda kind, x: F.concat(F.lit(f"{KG}{kind}/"), F.col(x).cast("string"))
     home, lits = u("nation", "c_nationkey"), {LABEL: F.col("c_name"), ONTO + "balance": F.col("c_acctbal")}
+    lands = triples.triples_of(read(spark, d, "nation"), u("nation", "n_nationkey"), {}, {LABEL: _land("n_nationkey")})
     third = triples.triples_of(c.where("c_custkey % 3 = 0"), u("customer", "c_custkey"), {ONTO + "homeCountry": home})
     double = triples.triples_of(c.where("c_custkey % 5 = 0"), u("double", "c_custkey"), {TYPE: F.lit(ONTO + "Double")}, {LABEL: F.col("c_name")})
     twin = triples.triples_of(c.where("c_custkey % 11 = 0"), u("twin", "c_custkey"), {ONTO + "nation": home, TYPE: F.lit(ONTO + "Twin")}, lits)
-    return graph(spark, d).unionByName(third).unionByName(double).unionByName(twin)
+    return graph(spark, d).unionByName(lands).unionByName(third).unionByName(double).unionByName(twin)
 
 
 def _annotations(spark, d):

@@ -11,6 +11,7 @@ from ..operators import candidates as Q
 from ..operators import columns as C
 from ..operators import concepts, linking
 from ..operators.prepare import prepare
+from ..sources.stage import staged
 
 
 def analyse(cells: DataFrame, abbreviations: DataFrame | None = None, today: datetime.date | None = None) -> dict[str, DataFrame]:
@@ -33,32 +34,37 @@ def annotate(
     point); the most frequent ontology predicate of each column wins; cells get the objects of the winning predicate and
     the winning subject. A column's class is that of the ontology's branch (``paths``, ``order``: see ``choose_branch``), or without an ontology the
     most frequent type of its entities, the first by code point among equals. Rows without a match stay without annotation.
+
+    Each phase's result is a table that the next ones read, as several of them need it.
     """
-    out = analyse(cells, abbreviations)
+    prepared = staged(prepare(cells, abbreviations))
+    columns = staged(C.classify(C.values(prepared, "value", "cell_type")))
+    out = {"cells": prepared, "columns": columns, "subjects": staged(C.subject_columns(columns))}
+    triples = staged(triples)
     subjects = out["subjects"].where("subject_col is not null").select("table_id", "subject_col")
     kinds = out["columns"].select("table_id", "col_idx", "col_class")
-    placed = out["cells"].join(subjects, "table_id").join(kinds, ["table_id", "col_idx"]).select(*linking.CELL, "subject_col", "col_class", "value", "value_original")
+    placed = staged(out["cells"].join(subjects, "table_id").join(kinds, ["table_id", "col_idx"]).select(*linking.CELL, "subject_col", "col_class", "value", "value_original"))
     named = placed.where("col_class = 'NE' and value <> ''")
 
     labels = triples.where(F.col("p") == label).select("s", F.col("o").alias("label"))
     redirects = triples.where(F.col("p") == redirect).select(F.col("s").alias("s2"), F.col("o").alias("s"))
     found = Q.candidates(named.select(F.col("value").alias("q")).distinct(), labels, redirects)
-    cand = linking.cell_candidates(named, found.select(F.col("q").alias("value"), F.col("s").alias("entity"))).join(subjects, "table_id")
+    cand = staged(linking.cell_candidates(named, found.select(F.col("q").alias("value"), F.col("s").alias("entity"))).join(subjects, "table_id"))
     subject = cand.where("col_idx = subject_col").select("table_id", "row_idx", F.col("entity").alias("s"))
     objects = cand.where("col_idx <> subject_col").select(*linking.CELL, F.col("entity").alias("o"))
     literals = placed.where("col_class = 'LIT' and value_original <> ''").select(*linking.CELL, F.col("value_original").alias("value"))
     by_entity = linking.match_entities(subject, objects, triples, ontology=None)
     by_literal = linking.match_literals(subject, literals, triples).drop("exact")
-    matches = by_entity.withColumn("uri", F.lit(True)).unionByName(by_literal.withColumn("uri", F.lit(False)))
+    matches = staged(by_entity.withColumn("uri", F.lit(True)).unionByName(by_literal.withColumn("uri", F.lit(False))))
 
     names = labels.groupBy("s").agg(F.min(F.lower("label")).alias("name"))
     own = named.where("col_idx = subject_col").select("table_id", "row_idx", F.col("value").alias("cell"))
-    winners = linking.vote_subject(matches, subject.join(own, linking.ROW).join(names, "s"))
-    kept = linking.keep_winning(matches, winners)
-    predicates = linking.vote_predicate(kept, ontology)
+    winners = staged(linking.vote_subject(matches, subject.join(own, linking.ROW).join(names, "s")))
+    kept = staged(linking.keep_winning(matches, winners))
+    predicates = staged(linking.vote_predicate(kept, ontology))
     cells_of = kept.where("uri").join(predicates.select("table_id", "col_idx", "p"), ["table_id", "col_idx", "p"]).groupBy(*linking.CELL).agg(F.max("o").alias("entity"))
     subject_of = winners.join(subjects, "table_id").select("table_id", "row_idx", F.col("subject_col").alias("col_idx"), F.col("s").alias("entity"))
-    out["cea"] = cells_of.unionByName(subject_of)
+    out["cea"] = staged(cells_of.unionByName(subject_of))
     out["cpa"] = predicates.join(subjects, "table_id").select("table_id", "subject_col", "col_idx", "p")
 
     types = concepts.types_of(triples, type_, out["cea"].select("entity")).select("entity", concepts.class_names(F.col("type")).alias("class"))
