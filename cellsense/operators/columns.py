@@ -81,7 +81,7 @@ def _scored(columns: DataFrame) -> DataFrame:
     is_ne = F.col("col_class") == "NE"
     of_ne = lambda f, c: f(F.when(is_ne, F.col(c))).over(table)
     ne = columns.withColumn("_ne", is_ne).withColumn("df", F.col("col_idx") - of_ne(F.min, "col_idx"))
-    ne = ne.withColumn("emc_norm", F.when(F.col("emc") == 0, F.lit(0.0)).otherwise(F.col("emc") / of_ne(F.max, "emc"))).withColumn("uc_norm", F.col("uc") / of_ne(F.max, "uc")).withColumn("aw_norm", F.col("aw") / of_ne(F.max, "aw"))
+    ne = ne.withColumn("emc_norm", F.when(F.col("emc") == 0, F.lit(0.0)).when(is_ne, F.col("emc") / of_ne(F.max, "emc"))).withColumn("uc_norm", F.when(is_ne, F.col("uc") / of_ne(F.max, "uc"))).withColumn("aw_norm", F.when(is_ne, F.col("aw") / of_ne(F.max, "aw")))
     ne = ne.withColumn("df_norm", F.col("df") + 1)
     e, u, a, d = (F.col(f"{x}_norm") for x in ("emc", "uc", "aw", "df"))
     return ne.select(
