@@ -24,9 +24,10 @@ HOUSE = r"^[\d]+[A-z\s,]+[\d]"
 HEX_COLOR = r"^#(?:[0-9a-fA-F]{3}){1,2}$"
 URL = r"https?:\/\/(www\.)?[-a-zA-Z0-9@:%._\+~#=]{2,256}\.[a-z]{2,6}\b"
 OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: An address is looked for, not matched as a whole: the last character of its local part (or a quoted one), the at-sign, and the domain up
+#: An address is looked for, not matched as a whole: the last character of its local part (or a quoted one from its last quotation mark
+#: on: what is right from an earlier, escaped one is right from there), the at-sign, and the domain up
 #: to the first letter after its first full stop (or one in brackets) tell it.
-LOCAL = r"(?:[a-z0-9!#$%&'*+/=?^_`{|}~-]|\"(?:[\x01-\x08\x0b\x0c\x0e-\x1f\x21\x23-\x5b\x5d-\x7f]++|\\[\x01-\x09\x0b\x0c\x0e-\x7f])*+\")"
+LOCAL = r"(?:[a-z0-9!#$%&'*+/=?^_`{|}~-]|\"(?:[\x01-\x08\x0b\x0c\x0e-\x1f\x21\x23-\x5b\x5d-\x7f]++|\\[\x01-\x09\x0b\x0c\x0e-\x21\x23-\x7f])*+\")"
 DOMAIN = rf"(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.[a-z0-9]|\[(?:{OCTET}\.){{3}}(?:{OCTET}|[a-z0-9-]*[a-z0-9]:[\x01-\x08\x0b\x0c\x0e-\x1f\x21-\x7f]+)\])"
 EMAIL = f"{LOCAL}@{DOMAIN}"
 IPV4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
