@@ -1,8 +1,8 @@
 """Toxicity from subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its hashed character n-grams and of the word itself; a document's is
-the mean over its words; two softmax outputs stand on it. Vectors and outputs are trained together (Adam; a vector moves in the
-steps that meet it) on a bounded sample of labelled rows. The model is linear in the document, so a word adds one fixed number to the logit: scoring
+the mean over its words; two softmax outputs stand on it. Vectors and outputs are trained together (Adam) on a bounded
+sample of labelled rows. The model is linear in the document, so a word adds one fixed number to the logit: scoring
 looks words up in a table that is filled on first use, unseen spellings through the n-grams they share.
 
 Defined cases: null and empty texts have no words and score by the bias alone; without labels of both classes every
@@ -98,14 +98,11 @@ class Model:
                 p[np.arange(len(part)), y[part]] -= 1
                 p /= len(part)
                 de = sums((p @ self.u.T)[doc] * weights[:, None], at, len(used)) / n[:, None]
-                met = np.flatnonzero(np.bincount(ids, minlength=BUCKETS))
-                place = np.empty(BUCKETS, np.int64)
-                place[met] = np.arange(len(met))
-                grad = sums(np.repeat(de, n, axis=0), place[ids], len(met)) + DECAY * self.v[met], h.T @ p, p.sum(0)
-                for x, g, (m, s), rows in zip((self.v, self.u, self.b), grad, state, (met, slice(None), slice(None)), strict=True):
-                    m[rows] += 0.1 * (g - m[rows])
-                    s[rows] += 0.001 * (g * g - s[rows])
-                    x[rows] -= RATE * (m[rows] / (1 - 0.9**step)) / (np.sqrt(s[rows] / (1 - 0.999**step)) + 1e-8)
+                grad = sums(np.repeat(de, n, axis=0), ids, BUCKETS) + DECAY * self.v, h.T @ p, p.sum(0)
+                for x, g, (m, s) in zip((self.v, self.u, self.b), grad, state, strict=True):
+                    m += 0.1 * (g - m)
+                    s += 0.001 * (g * g - s)
+                    x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
 
     def line(self) -> tuple[np.ndarray, float]:
         """What each n-gram bucket adds to the logit of class 1, and the bias."""
@@ -150,9 +147,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, where, per_class: tup
             left -= r.n
             chosen.append((r.doc_id,))
     picked = docs.sparkSession.createDataFrame(chosen, T.StructType([docs.schema["doc_id"]]))
-    got = sorted(rows.join(F.broadcast(picked), "doc_id").select("_h", "doc_id", "label", "text").collect())  # as many rows, max_bytes in all
+    texts, y = [], []
+    for r in rows.join(F.broadcast(picked), "doc_id").repartition(8, "_h").sortWithinPartitions("_h", "doc_id").toLocalIterator():  # max_bytes in all
+        texts.append(r.text.encode())
+        y.append(r.label)
     scratch.drop()
-    return [r.text.encode() for r in got], np.array([r.label for r in got], np.int64)
+    return texts, np.array(y, np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", where=None) -> tuple[np.ndarray, float] | None:
