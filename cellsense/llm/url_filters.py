@@ -102,8 +102,9 @@ def sample_urls(pages: DataFrame, labels: DataFrame, rules=(), sample: int = SAM
 
 def chi_square(n, k, total: int, hits: int):
     """Chi-square of combinations of ``n`` of ``total`` rows, ``k`` of whose rows are in a class of ``hits``; negative where it speaks against the class."""
+    n, k, total, hits = n.cast("double"), k.cast("double"), float(total), float(hits)  # the products pass the range of long
     gain = k * total - n * hits
-    return total * gain * F.abs(gain) / (n * F.greatest(F.lit(total) - n, F.lit(1)) * hits * (total - hits))
+    return total * gain * F.abs(gain) / (n * F.greatest(F.lit(total) - n, F.lit(1.0)) * hits * (total - hits))
 
 
 def mine(pages: DataFrame, labels: DataFrame, rules=(), sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_chi: float = MIN_CHI) -> list[tuple[tuple[str, ...], str, float]]:
