@@ -52,6 +52,15 @@ class Scratch:
         self.paths = []
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder; what lies there goes when the session ends."""
+    path = f"{shared_dir(spark)}/cellsense-{uuid.uuid4().hex}"
+    target, fs = _at(spark, path)
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    return path
+
+
 def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cellsense-{uuid.uuid4().hex}"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, sharding, toxicity, url_filters
+from . import embedding_dedup, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, sharding, token_planes, toxicity, url_filters
+from .common import new_folder
 from .oracles import ORACLES
 
 #: Key of the pseudonyms; a deployment passes its own secret.
@@ -63,6 +64,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark)
+    token_planes.write(table(spark, sf_dir, "documents"), path, vocabulary())
+    return token_planes.read_documents(spark, path)
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_quality_classifier, op4_url_filters, op5_pii, op6_quality_rules, op7_jaccard_join, op8_embedding_dedup, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_quality_classifier, op4_url_filters, op5_pii, op6_quality_rules, op7_jaccard_join, op8_embedding_dedup, op9_mixing, op10_toxicity, op13_token_planes)}
