@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import COVER, LEAST, SCALE, TOP
 from .mixing import WORD
 from .quality_rules import CLASSES, GUARD_CHARS, GUARD_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, WORD_ALLOWANCE, WORDS
 
@@ -65,4 +66,24 @@ RULES = f"""WITH b AS (SELECT doc_id AS id, lang, coalesce(text, '') AS t FROM d
  SELECT id AS doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN chars >= {GUARD_CHARS} THEN round(c, 6) END AS char_distance, CASE WHEN n_words >= {GUARD_WORDS} THEN round(v, 6) END AS word_distance,
  NOT base_failed AND NOT (chars >= {GUARD_CHARS} AND c > {MAX_CHAR_DISTANCE}) AND NOT (n_words >= {GUARD_WORDS} AND v > {MAX_WORD_DISTANCE} + {WORD_ALLOWANCE} / sqrt(n_words)) AS kept FROM y"""
 
-ORACLES = {"op6_quality_rules": RULES, "op7_jaccard_join": JACCARD, "op8_embedding_dedup": VECTORS, "op9_mixing": MIXING}
+COLLOCATIONS = rf"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+ w AS (SELECT lang, regexp_extract_all(unnest(p), '[^\x20\x09]+') AS w FROM t),
+ g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))),
+ n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {LEAST}),
+ c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+ cuts AS (SELECT c.lang, c.phrase, c.f AS a, j, l.f AS l, r.f AS r, CAST({SCALE} * CAST(c.f AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.j + 1:], ' ')),
+ best AS (SELECT lang, phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS most FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL),
+ kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < {COVER} * CAST(a AS HUGEINT))
+ SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang)) WHERE rank <= {TOP}"""
+
+NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+ n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank FROM p JOIN s USING (anchor_id)
+  WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+ORACLES = {"op6_quality_rules": RULES, "op7_jaccard_join": JACCARD, "op8_embedding_dedup": VECTORS, "op9_mixing": MIXING, "op11_hard_negatives": NEGATIVES, "op12_collocations": COLLOCATIONS}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, sharding, token_planes, toxicity, url_filters
+from . import collocations, embedding_dedup, hard_negatives, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, sharding, token_planes, toxicity, url_filters
 from .common import new_folder
 from .oracles import ORACLES
 
@@ -64,6 +64,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark)
     token_planes.write(table(spark, sf_dir, "documents"), path, vocabulary())
@@ -72,4 +80,4 @@ def op13_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ORACLES", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_quality_classifier, op4_url_filters, op5_pii, op6_quality_rules, op7_jaccard_join, op8_embedding_dedup, op9_mixing, op10_toxicity, op13_token_planes)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_quality_classifier, op4_url_filters, op5_pii, op6_quality_rules, op7_jaccard_join, op8_embedding_dedup, op9_mixing, op10_toxicity, op11_hard_negatives, op12_collocations, op13_token_planes)}

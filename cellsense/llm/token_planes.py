@@ -46,6 +46,8 @@ RUN = re.compile(r"\s (?:\s|\Z)")
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+SPACE, STOPS = BYTE_CHARS[32], ".,;:!?"
+PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 class Ids(dict):
@@ -69,24 +71,30 @@ class Ids(dict):
         plain = len(split) == 1 and split[0].get("use_regex", True) and not model.get("normalizer")
         self.library = Tokenizer.from_str(text)
         self.special = [x["content"] for x in model.get("added_tokens", [])]
-        self.pieces, self.cut, self.last = {}, regex.compile(PIECE).findall, "\u024f" if plain else ""
+        self.tokenize, self.pieces, self.cut, self.last = self.library.model.tokenize, {}, regex.compile(PIECE).findall, "\u024f" if plain else ""
 
     def raw(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def piece(self, text: str) -> bytes:
-        if (out := self.pieces.get(text)) is None:
-            ids = [t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(BYTE_CHARS))]
-            out = self.pieces[text] = struct.pack(f"<{len(ids)}I", *ids)
+    def piece(self, shown: str) -> bytes:
+        """The ids of a piece whose bytes are shown by characters."""
+        if (out := self.pieces.get(shown)) is None:
+            ids = [t.id for t in self.tokenize(shown)]
+            out = self.pieces[shown] = PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
             self.pieces.clear()
-        text = " " + word
-        out = self[word] = b"".join(map(self.piece, self.cut(text))) if max(text) <= self.last else self.raw(text)
+        if word.isascii() and word[:-1].isalpha() and self.last and (word[-1].isalpha() or word[-1] in STOPS):  # most words: letters, or letters and a stop
+            out = self.piece(SPACE + word) if word[-1].isalpha() else self.piece(SPACE + word[:-1]) + self.piece(word[-1])
+        elif max(text := " " + word) <= self.last:
+            out = b"".join([self.piece(p.encode().decode("latin-1").translate(BYTE_CHARS)) for p in self.cut(text)])
+        else:
+            out = self.raw(text)
+        self[word] = out
         return out
 
     def of(self, text: str) -> bytes:
