@@ -1,11 +1,12 @@
 """Phrase collocations by word-id suffix arrays.
 
-Texts are cut into pieces and words; a task gathers the words of a language into shards of about ``shard`` words: a vocabulary and an
-array of word ids with 0 between pieces. A shard's suffix array is built by numpy prefix doubling (to the longest phrase's length; nothing
+Texts are cut into pieces and words; a task gathers the words of each language into shards, and closes the largest whenever it holds ``shard``
+words in all: a vocabulary and an array of word ids with 0 between pieces. A shard's suffix array is built by numpy prefix doubling (to the longest phrase's length; nothing
 deeper is asked); the intervals of its LCP array are the distinct n-grams with their counts, which are merged over the shards by key.
 
 What can't be frequent is left out before it is shuffled, and exactly so, since a phrase is at most as frequent as any part of it:
-1. words are counted per shard and merged; each shard gets back the global numbers of those of its words that are frequent;
+1. words are counted per shard and merged; each shard gets back the global numbers of those of its words that are frequent (a word's number is the
+   least place it has in any shard, so numbers need no table of their own);
 2. pairs of frequent words come from the suffix arrays of order two; each shard gets back its frequent pairs;
 3. longer phrases are looked for only where every pair is frequent.
 So what is shuffled is a row per distinct word or pair of a shard, never a row per occurrence; what goes back to a shard is part of what it has
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from .batches import small
 from .common import Scratch, short_batches, side, written
 
-#: Words of a shard, about; longest phrase; least count; share (in hundredths) of a phrase's count that lets a longer one stand for it; phrases of a language; buckets of the first choice.
-SHARD, LONGEST, LEAST, COVER, TOP, BUCKETS = 2_000_000, 4, 30, 80, 2000, 32
+#: Words that a task holds in open shards, about; longest phrase; least count; share (in hundredths) of a phrase's count that lets a longer one stand for it; phrases of a language; buckets of the first choice.
+SHARD, LONGEST, LEAST, COVER, TOP, BUCKETS = 3_000_000, 4, 30, 80, 2000, 32
 SCALE = 2_000_000
 
 #: A-Z lower-cased, every separator (.,;:!? and the line ends from x0A to x0D) a full stop.
@@ -66,11 +67,11 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, Shard] = {}
-        number = TaskContext.get().partitionId() << 33
+        number = TaskContext.get().partitionId() << 41  # and the words of the task's shards so far: a word's place is its shard's number and its id
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out(langs: list[str]) -> Iterator[pa.RecordBatch]:
             nonlocal number
-            for lang in sorted(open_):
+            for lang in langs:
                 s = open_.pop(lang)
                 ids, words = np.concatenate(s.parts), list(s.words)[1:]
                 if words:
@@ -78,15 +79,15 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
                     counts = pa.array(np.bincount(ids, minlength=len(words) + 1)[1:], pa.int64())
                     ends = pa.array([0, len(words)], pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([lang]), pa.ListArray.from_arrays(ends, flat), pa.ListArray.from_arrays(ends, counts), pa.array([ids.tobytes()], pa.binary())], names=names)
-                    number += 1
+                    number += len(words)
 
         for batch in small(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if text:
                     open_.setdefault("und" if lang is None else lang, Shard()).add(text)
                     if sum(s.size for s in open_.values()) >= size:
-                        yield from out()
-        yield from out()
+                        yield from out([max(sorted(open_), key=lambda x: open_[x].size)])
+        yield from out(sorted(open_))
 
     short_batches(docs.sparkSession)
     return docs.select("lang", "text").mapInArrow(run, "shard long, lang string, words array<string>, counts array<long>, ids binary")
@@ -133,52 +134,48 @@ def intervals(ids: np.ndarray, order: np.ndarray, lcp: np.ndarray, k: int) -> tu
     return grams[whole], counts[whole]
 
 
-def _numbers(local, n: int) -> np.ndarray:
-    """Global word numbers by local id, -1 for words that aren't frequent."""
-    out = np.full(n, -1, dtype=np.int64)
-    out[local.field(0).to_numpy()] = local.field(1).to_numpy()
-    return out
+def _frequent(raw: bytes, local) -> tuple[np.ndarray, np.ndarray]:
+    """The shard's ids anew, in the order of the words' global numbers and 0 for words that aren't frequent; the number of each new id."""
+    ids = np.frombuffer(raw, dtype="<i4")
+    at, number = local.field(0).to_numpy(), local.field(1).to_numpy()
+    order = np.argsort(number)
+    new = np.zeros(int(ids.max(initial=0)) + 1, dtype=np.int32)
+    new[at[order]] = np.arange(1, len(at) + 1)
+    return new[ids], np.concatenate(([-1], number[order]))
 
 
-def _frequent_ids(raw: bytes, local) -> tuple[np.ndarray, np.ndarray]:
-    """The shard's ids with 0 for every word that isn't frequent, and the global numbers of its ids."""
-    ids = np.frombuffer(raw, dtype="<i4")
-    number = _numbers(local, int(ids.max(initial=0)) + 1)
-    return np.where(number[ids] >= 0, ids, 0), number
+#: Rows of a batch that goes out.
+ROWS = 100_000
 
 
 def pairs(numbered: DataFrame) -> DataFrame:
-    """(shard, lang, w1, w2, c): each distinct pair of frequent words of a shard."""
+    """(shard, w1, w2, c): each distinct pair of frequent words of a shard, by their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, number = _frequent_ids(batch.column(2)[i].as_py(), batch.column(3)[i].values)
+                ids, number = _frequent(batch.column(1)[i].as_py(), batch.column(2)[i].values)
                 grams, c = intervals(ids, *suffix_array(ids, 2), 2)
-                shard, lang = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                for k in range(0, len(c), 100_000):
-                    g, n = number[grams[k : k + 100_000]], len(c[k : k + 100_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array([lang] * n, pa.string()), pa.array(g[:, 0]), pa.array(g[:, 1]), pa.array(c[k : k + 100_000], pa.int64())], names=["shard", "lang", "w1", "w2", "c"])
+                shard = batch.column(0)[i].as_py()
+                for k in range(0, len(c), ROWS):
+                    g = number[grams[k : k + ROWS]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), shard)), pa.array(g[:, 0]), pa.array(g[:, 1]), pa.array(c[k : k + ROWS], pa.int64())], names=["shard", "w1", "w2", "c"])
 
-    return numbered.select("shard", "lang", "ids", "local").mapInArrow(run, "shard long, lang string, w1 long, w2 long, c long")
+    return numbered.select("shard", "ids", "local").mapInArrow(run, "shard long, w1 long, w2 long, c long")
 
 
 def longer(numbered: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(lang, words, c): each distinct phrase of three to ``longest`` words of a shard all of whose pairs are frequent;
-    numbered(shard, lang, ids, local, good) with the shard's frequent pairs of global numbers in ``good``."""
+    """(words, c): each distinct phrase of three to ``longest`` words of a shard all of whose pairs are frequent;
+    numbered(shard, ids, local, good) with the shard's frequent pairs of numbers in ``good``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, number = _frequent_ids(batch.column(2)[i].as_py(), batch.column(3)[i].values)
-                good = batch.column(4)[i].values
-                known = np.flatnonzero(number >= 0)
-                to_local = known[np.argsort(number[known])]
-                sorted_ = number[to_local]
-                a, b = (to_local[np.searchsorted(sorted_, good.field(j).to_numpy())] for j in range(2))
-                wide = len(number)
-                keys = np.sort(a.astype(np.int64) * wide + b)
-                here = ids[:-1].astype(np.int64) * wide + ids[1:]
+                ids, number = _frequent(batch.column(1)[i].as_py(), batch.column(2)[i].values)
+                good = batch.column(3)[i].values
+                a, b = (np.searchsorted(number, good.field(j).to_numpy()).astype(np.int64) for j in range(2))
+                keys = np.sort(a * len(number) + b)
+                here = ids[:-1].astype(np.int64) * len(number) + ids[1:]
                 where = np.minimum(np.searchsorted(keys, here), len(keys) - 1)
                 joined = (keys[where] == here) & (ids[:-1] > 0) & (ids[1:] > 0)
                 # 0 between words that make no frequent pair: runs are laid out anew, and runs of one word go
@@ -192,36 +189,35 @@ def longer(numbered: DataFrame, longest: int = LONGEST) -> DataFrame:
                 runs = np.zeros(len(at) + int(cut.sum()), dtype=ids.dtype)
                 runs[np.arange(len(at)) + np.cumsum(cut)] = ids[at]
                 order, lcp = suffix_array(runs, longest)
-                lang = batch.column(1)[i].as_py()
                 for size in range(3, longest + 1):
                     grams, c = intervals(runs, order, lcp, size)
-                    for k in range(0, len(c), 100_000):
-                        g = number[grams[k : k + 100_000]]
+                    for k in range(0, len(c), ROWS):
+                        g = number[grams[k : k + ROWS]]
                         rows = pa.ListArray.from_arrays(pa.array(np.arange(0, g.size + 1, size), pa.int32()), pa.array(g.reshape(-1)))
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), rows, pa.array(c[k : k + 100_000], pa.int64())], names=["lang", "words", "c"])
+                        yield pa.RecordBatch.from_arrays([rows, pa.array(c[k : k + ROWS], pa.int64())], names=["words", "c"])
 
-    return numbered.select("shard", "lang", "ids", "local", "good").mapInArrow(run, "lang string, words array<long>, c long")
+    return numbered.select("shard", "ids", "local", "good").mapInArrow(run, "words array<long>, c long")
 
 
 def phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST, size: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lang, words, f) of all frequent phrases of one to ``longest`` words by their numbers; (lang, word, number) of the frequent words; (lang, n)."""
+    """(words, f) of all frequent phrases of one to ``longest`` words by their numbers; (lang, word, number, f) of the frequent words; (lang, n)."""
     held = scratch.write(shards(docs, size))
-    each = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts"))).select("shard", "lang", (F.col("pos") + 1).alias("at"), "col.words", "col.counts")
-    counted = each.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f"))
+    each = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts"))).select("shard", "lang", (F.col("pos") + 1).alias("at"), F.col("col.words").alias("word"), F.col("col.counts").alias("c"))
     total = scratch.write(held.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
-    # numbers are places in a written table, so they stay
-    words = scratch.write(scratch.write(counted.where(F.col("f") >= least)).withColumn("number", F.monotonically_increasing_id()))
-    one = side(words.select("lang", F.col("word").alias("words"), "number"))
-    local = each.select("shard", "lang", "at", "words").join(one, ["lang", "words"]).groupBy("shard").agg(F.collect_list(F.struct("at", "number")).alias("local"))
-    numbered = held.select("shard", "lang", "ids").join(scratch.write(local), "shard")
-    # every shard has a pair once, so a pair's rows are at most the shards
+    # every shard has a word once, so a word's rows are at most the shards; its number is its least (shard, place)
+    word = Window.partitionBy("lang", "word")
+    place = F.col("shard") + F.col("at")
+    known = scratch.write(each.withColumn("f", F.sum("c").over(word)).withColumn("number", F.min(place).over(word)).where(F.col("f") >= least).select("shard", "at", "number", "lang", F.when(F.col("number") == place, F.col("word")).alias("word"), "f"))
+    words = scratch.write(known.where("word is not null").select("lang", "word", "number", "f"))
+    local = scratch.write(known.groupBy("shard").agg(F.collect_list(F.struct("at", "number")).alias("local")))
+    numbered = held.select("shard", "ids").join(local, "shard")
+    # and so a pair's
     f = F.sum("c").over(Window.partitionBy("w1", "w2"))
-    found = scratch.write(pairs(numbered).withColumn("f", f).where(F.col("f") >= least).select("shard", "lang", "w1", "w2", "f"))
+    found = scratch.write(pairs(numbered).withColumn("f", f).where(F.col("f") >= least).select("shard", "w1", "w2", "f", (F.row_number().over(Window.partitionBy("w1", "w2").orderBy("shard")) == 1).alias("first")))
     good = scratch.write(found.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("good")))
-    more = longer(numbered.join(good, "shard"), longest).groupBy("lang", "words").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    two = found.groupBy("lang", "w1", "w2").agg(F.max("f").alias("f")).select("lang", F.array("w1", "w2").alias("words"), "f")
-    every = scratch.write(words.select("lang", F.array("number").alias("words"), "f").unionByName(two).unionByName(more))
-    return every, words, total
+    more = longer(numbered.join(good, "shard"), longest).groupBy("words").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+    two = found.where("first").select(F.array("w1", "w2").alias("words"), "f")
+    return scratch.write(words.select(F.array("number").alias("words"), "f").unionByName(two).unionByName(more)), words, total
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cover: int = COVER, top: int = TOP, size: int = SHARD) -> DataFrame:
@@ -240,19 +236,20 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, co
         inside = long_.where(F.size("words") > 2).select(F.explode(F.array_distinct(F.filter(F.array(*fits), lambda x: x.isNotNull()))).alias("words"), "f") if inner else None
         if inside is not None:
             most = inside.groupBy("words").agg(F.max("f").alias("most"))
-            kept = long_.join(most, "words", "left").where(F.col("most").isNull() | (100 * exact("most") < cover * exact("f"))).select("lang", "words", "f")
+            kept = long_.join(most, "words", "left").where(F.col("most").isNull() | (100 * exact("most") < cover * exact("f"))).select("words", "f")
         else:
             kept = long_
-        cuts = reduce(DataFrame.unionByName, [kept.where(F.size("words") > k).select("lang", "words", F.col("f").alias("a"), F.lit(k).alias("k"), part(1, k).alias("one"), F.slice("words", F.lit(k + 1), F.size("words") - k).alias("two")) for k in range(1, longest)])
+        cuts = reduce(DataFrame.unionByName, [kept.where(F.size("words") > k).select("words", F.col("f").alias("a"), F.lit(k).alias("k"), part(1, k).alias("one"), F.slice("words", F.lit(k + 1), F.size("words") - k).alias("two")) for k in range(1, longest)])
         left, right = every.select(F.col("words").alias("one"), F.col("f").alias("l")), every.select(F.col("words").alias("two"), F.col("f").alias("r"))
         scored = cuts.join(left, "one").join(right, "two").withColumn("score", F.expr(f"CAST(floor({SCALE}BD * CAST(a AS DECIMAL(20,0)) div (CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0)))) AS BIGINT)"))
-        best = scored.groupBy("lang", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("x")).select("lang", "words", "a", "x.l", "x.r", "x.score")
+        best = scored.groupBy("words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("x")).select("words", "a", "x.l", "x.r", "x.score")
+        best = best.join(side(words.select("lang", F.col("number").alias("w"))), F.get("words", F.lit(0)) == F.col("w")).drop("w")
         # by score and count first, which needs no words; all that tie with the last place stay
         near = Window.partitionBy("lang", "bucket").orderBy(F.desc("score"), F.desc("a"))
         some = scratch.write(best.withColumn("bucket", F.pmod(F.xxhash64("words"), F.lit(BUCKETS))).withColumn("place", F.rank().over(near)).where(F.col("place") <= top).drop("bucket", "place"))
         name = words.select(F.col("number").alias("w"), "word")
-        spelt = some.select("lang", "words", F.posexplode("words").alias("pos", "w")).join(side(name), "w").groupBy("lang", "words").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("phrase"))
-        named = some.join(spelt.drop("lang"), "words")
+        spelt = some.select("words", F.posexplode("words").alias("pos", "w")).join(side(name), "w").groupBy("words").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+        named = some.join(spelt, "words")
         order = [F.desc("score"), F.desc("a"), "phrase"]
         first = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS))).orderBy(*order)
         fewer = named.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
