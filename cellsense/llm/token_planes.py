@@ -35,11 +35,12 @@ from pyspark.sql import types as T
 from .batches import small
 from .common import short_batches
 
-#: Ids of a block; words kept at hand by a task (about 200 bytes each); zstandard's level; id at the end of a document.
-BLOCK, CACHE, LEVEL, END_ID = 1 << 16, 500_000, 3, 0
+#: Ids of a block; words kept at hand by a task (about 200 bytes each, in each of two generations); zstandard's level; id at the end of a document.
+BLOCK, CACHE, LEVEL, END_ID = 1 << 16, 250_000, 3, 0
 
-#: White space of which a space is the last or not the first: there a text isn't cut into words.
+#: A space within or at the end of a longer run of white space: such a text isn't cut into words. It needs a pair of AFTER, or a space at the end.
 RUN = re.compile(r"\s (?:\s|\Z)")
+AFTER = [" " + c for c in map(chr, range(0x3001)) if c.isspace()]
 
 
 #: How a byte-level tokenizer cuts a text into pieces, and the characters that stand for the bytes it can't print (fixed values).
@@ -54,7 +55,7 @@ class Ids(dict):
     """Little-endian 32-bit ids, by the tokenizers library, of words with the space before them.
 
     A byte-level tokenizer that splits before spaces (checked) never joins ids across the space before a word, so a distinct word
-    is encoded once and kept, also for the worker's next task. Words of Latin letters are cut into pieces here and each distinct piece
+    is encoded once and kept, also for the worker's next task; when there are too many, those that weren't met since the last time go. Words of Latin letters are cut into pieces here and each distinct piece
     goes to the library's model; all else goes to the whole tokenizer."""
 
     def __init__(self, path: str):
@@ -71,7 +72,7 @@ class Ids(dict):
         plain = len(split) == 1 and split[0].get("use_regex", True) and not model.get("normalizer")
         self.library = Tokenizer.from_str(text)
         self.special = [x["content"] for x in model.get("added_tokens", [])]
-        self.tokenize, self.pieces, self.cut, self.last = self.library.model.tokenize, {}, regex.compile(PIECE).findall, "\u024f" if plain else ""
+        self.tokenize, self.old, self.pieces, self.cut, self.last = self.library.model.tokenize, {}, {}, regex.compile(PIECE).findall, "\u024f" if plain else ""
 
     def raw(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
@@ -86,8 +87,13 @@ class Ids(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
+        if len(self.pieces) >= CACHE:
             self.pieces.clear()
+        if (out := self.old.get(word)) is not None:
+            self[word] = out
+            return out
         if word.isascii() and word[:-1].isalpha() and self.last and (word[-1].isalpha() or word[-1] in STOPS):  # most words: letters, or letters and a stop
             out = self.piece(SPACE + word) if word[-1].isalpha() else self.piece(SPACE + word[:-1]) + self.piece(word[-1])
         elif max(text := " " + word) <= self.last:
@@ -98,7 +104,7 @@ class Ids(dict):
         return out
 
     def of(self, text: str) -> bytes:
-        if RUN.search(text) or any(s in text for s in self.special):
+        if (text.endswith(" ") or any(x in text for x in AFTER)) and RUN.search(text) or any(s in text for s in self.special):
             return self.raw(text)
         first, *rest = text.split(" ")
         return self.raw(first) + b"".join(map(self.__getitem__, rest))
