@@ -81,13 +81,18 @@ def entities(queries: DataFrame, triples: DataFrame, label: str, redirect: str,
     return incoming(found, triples) if symmetric else outgoing(found, triples)
 
 
-def person_entities(people: DataFrame, triples: DataFrame, label: str, type_: str, person: str, symmetric: bool = False, k: int = TOP_PERSONS) -> DataFrame:
-    """Persons by people(q, prefix, surname): labels that hold the surname and start with the prefix."""
+def persons(people: DataFrame, triples: DataFrame, label: str, type_: str, person: str, k: int = TOP_PERSONS) -> DataFrame:
+    """(q, s, alias) by people(q, prefix, surname): persons whose label holds the surname and starts with the prefix."""
     labels = triples.where(F.col("p") == label).select("s", F.col("o").alias("label"))
     kinds = triples.where((F.col("p") == type_) & (F.col("o") == person)).select("s").distinct()
     hits = text_match(people.select(F.col("surname").alias("q")).distinct(), labels).withColumnRenamed("q", "surname").join(people, "surname")
     hits = hits.where(F.startswith(F.lower("label"), F.lower("prefix"))).join(kinds, "s", "left_semi").select("q", "s").distinct().withColumn("alias", F.lit("None"))
-    found = top_by_length(hits, k)
+    return top_by_length(hits, k)
+
+
+def person_entities(people: DataFrame, triples: DataFrame, label: str, type_: str, person: str, symmetric: bool = False, k: int = TOP_PERSONS) -> DataFrame:
+    """Persons by people(q, prefix, surname): labels that hold the surname and start with the prefix."""
+    found = persons(people, triples, label, type_, person, k)
     return incoming(found, triples) if symmetric else outgoing(found, triples)
 
 

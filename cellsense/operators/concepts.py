@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
+
 #: Share of the weight that a class found by lookup adds; least share of the most frequent class.
 BOOST, LEAST, SAMPLE = 0.30, 0.30, 30
 DROPPED = ("Agent", "Thing")
@@ -44,19 +46,32 @@ def boosted(freq: DataFrame, rows: DataFrame, lookup: DataFrame, header: DataFra
     return both.withColumn("_top", top).where(F.col("freq") / F.col("_top") > LEAST).drop("_top", "l", "h", "num_rows")
 
 
-def ontology_paths(edges: DataFrame, roots: DataFrame, depth: int = 12) -> DataFrame:
-    """(root, class, path) by breadth-first levels over edges(parent, child) from roots(root); a class's first level counts.
-
-    The ontology is a fixed small table, so one join per level is enough."""
-    level = roots.select("root", F.col("root").alias("class"), F.array("root").alias("path"))
-    seen = level
-    for _ in range(depth):
-        step = level.join(edges, level["class"] == edges["parent"]).select("root", F.col("child").alias("class"), F.concat("path", F.array("child")).alias("path"))
-        step = step.groupBy("root", "class").agg(F.min("path").alias("path")).join(seen.select("root", "class"), ["root", "class"], "left_anti")
-        if step.isEmpty():
-            break
-        seen, level = seen.unionByName(step), step
-    return seen
+def ontology_closure(edges: DataFrame) -> DataFrame:
+    """(above, class, path): the shortest way from every class to each class below it over edges(parent, child), itself included; the first by code
+    point among equally short ones. Cycles do no harm.
+
+    By doubling: ways of up to 2 ** k steps joined with each other give those of up to 2 ** (k + 1), so the rounds are the logarithm of the depth,
+    whatever that is; each round is a table, and the last one finds nothing shorter. A part of a shortest, first way is one itself, so nothing is lost
+    by keeping one way for each pair."""
+    links = edges.select("parent", "child").where("parent is not null and child is not null and parent <> child").distinct()
+    names = links.select(F.col("parent").alias("class")).union(links.select("child")).distinct()
+    own = names.select(F.col("class").alias("above"), "class", F.array("class").alias("path"))
+    first = F.min(F.struct(F.size("path").alias("n"), F.col("path")))
+    ways = staged(own.unionByName(links.select(F.col("parent").alias("above"), F.col("child").alias("class"), F.array("parent", "child").alias("path"))))
+    total = -1
+    while (found := ways.agg(F.count(F.lit(1)), F.sum(F.size("path"))).first()) != total:
+        total = found
+        on = ways.select(F.col("above").alias("class"), F.col("class").alias("below"), F.slice("path", F.lit(2), F.size("path")).alias("rest"))
+        longer = ways.join(on, "class").select("above", F.col("below").alias("class"), F.concat("path", "rest").alias("path"))
+        ways = staged(longer.groupBy("above", "class").agg(first.alias("x")).select("above", "class", "x.path"))
+    return ways
+
+
+def ontology_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, class, path): the shortest way from each of roots(root) down to the classes below it, itself included."""
+    below = ontology_closure(edges).withColumnRenamed("above", "root").join(roots.select("root").distinct(), "root", "left_semi")
+    alone = roots.select("root", F.col("root").alias("class"), F.array("root").alias("path")).distinct()
+    return below.unionByName(alone.join(below.select("root").distinct(), "root", "left_anti"))
 
 
 def choose_branch(freq: DataFrame, paths: DataFrame, order: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Predicates of columns by similarity between cells and candidate values."""
+"""Predicates of columns by similarity between cells and candidate values.
+
+A predicate's value is as like a column as the mean of its likenesses to the column's cells of its own kind: numbers meet numbers, dates dates, other
+texts texts. Numbers and dates are never paired: with c of the larger size |c|, the likeness 1 - |c - v| / max(|c|, |v|, 1) is v / c, else c / v, so a
+value needs only the sum of 1 / c over the cells beyond it and the sum of c over those before it, which running sums over bands give."""
 
 from __future__ import annotations
 
@@ -6,8 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
+from ..functions.celltypes import is_description, is_float
 
 LEAST = 0.25
+#: Bands of a doubling of size, and of one below 1, in which numbers are summed; tasks that a column's texts are dealt to.
+BANDS, SALTS = 64, 16
 COLUMN = ["table_id", "col_idx"]
 
 
@@ -45,3 +52,90 @@ def winning_by_sum(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     """(table_id, col_idx, p, score): the predicate whose distinct values have the largest sum of scores(value, score)."""
     once = pairs.select(*COLUMN, "p", "value").distinct().join(scores, "value")
     return winning_predicate(once.groupBy(*COLUMN, "p").agg(F.sum("score").alias("score")))
+
+
+def _kinds(df: DataFrame, value: str) -> DataFrame:
+    """df with ``kind`` (number, date or text) and ``x``, the number or the date's day."""
+    number = F.when(is_float(F.col(value)), F.replace(F.col(value), F.lit(","), F.lit("")).try_cast("double"))
+    day = F.when(F.col(value).rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), S.day_number(F.try_to_date(F.col(value), "yyyy-MM-dd"))).cast("double")
+    kind = F.when(number.isNotNull(), "number").when(day.isNotNull(), "date").otherwise("text")
+    return df.withColumn("kind", kind).withColumn("x", F.coalesce(number, day))
+
+
+def _number_means(cells: DataFrame, values: DataFrame) -> DataFrame:
+    """(table, column, kind, x, mean) of the distinct values(table, column, kind, x) to cells(table, column, kind, x, n).
+
+    Both are sorted by size in one frame and dealt into bands; a row's sums are those of the bands before its own and of the rows before it in its band."""
+    keys = [*COLUMN, "kind"]
+    cell = cells.select(*keys, "x", F.col("n").cast("double").alias("n"), F.lit(0).alias("ask"))
+    value = values.select(*keys, "x").distinct().select(*keys, "x", F.lit(0.0).alias("n"), F.lit(1).alias("ask"))
+    size = F.abs("x")
+    rows = cell.unionByName(value)
+    small = size < 1
+    # numbers below 1 in size are ordered by value, in a part of their own
+    rows = rows.withColumn("part", F.when(small, 0).otherwise(1)).withColumn("at", F.when(small, F.col("x")).otherwise(size))
+    rows = rows.withColumn("band", F.floor(F.when(small, F.col("x") * BANDS).otherwise(F.log2(size) * BANDS)))
+    sums = [F.sum("n").alias("k"), F.sum(F.col("n") * F.col("x")).alias("t"), F.sum(F.when(size >= 1, F.col("n") / F.col("x")).otherwise(0.0)).alias("i")]
+    bands = rows.groupBy(*keys, "part", "band").agg(*sums)
+    before = Window.partitionBy(*keys, "part").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    starts = bands.select(*keys, "part", "band", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}0") for c in "kti"], *[F.sum(F.when(F.col("part") == p, F.col(c)).otherwise(0.0)).over(whole).alias(f"{c}{name}") for p, name in ((0, "s"), (1, "l")) for c in "kti"])
+    inside = Window.partitionBy(*keys, "part", "band").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    mine = rows.select(*keys, "part", "band", "x", "ask", F.sum("n").over(inside).alias("k"), F.sum(F.col("n") * F.col("x")).over(inside).alias("t"), F.sum(F.when(size >= 1, F.col("n") / F.col("x")).otherwise(0.0)).over(inside).alias("i"))
+    got = mine.where("ask = 1").join(starts, [*keys, "part", "band"])
+    k, t, i = (F.col(c) + F.col(f"{c}0") for c in "kti")  # of the cells up to the value, in its part
+    # below 1: small cells by distance, large ones by v / c; else: all smaller cells by c / v, those of the same size and beyond by v / c.
+    # Cells of the same size count once, by c / v, which is the same
+    low = F.col("ks") - (F.col("x") * k - t) - ((F.col("ts") - t) - F.col("x") * (F.col("ks") - k)) + F.col("x") * F.col("il")
+    high = (F.col("ts") + t) / F.col("x") + F.col("x") * (F.col("il") - i)
+    total = F.col("ks") + F.col("kl")
+    mean = F.when(F.col("part") == 0, low).otherwise(high) / total
+    return got.where(total > 0).select(*keys, "x", mean.alias("mean")).distinct()
+
+
+def text_similarity(cell, value):
+    """Likeness of two texts: persons by the initial, descriptions by what one holds of the other, others by edit distance."""
+    other = F.when(S.is_person(cell), 1 - S.person(F.lower(cell), F.lower(value))).otherwise(1 - S.edit_distance(F.lower(cell), F.lower(value)))
+    return F.when(is_description(cell), S.containment(F.lower(cell), F.lower(value))).otherwise(other)
+
+
+def typed_similarity(cells: DataFrame, values: DataFrame, least: float = LEAST) -> DataFrame:
+    """(table_id, col_idx, p, score) of the predicates whose best value has a mean likeness above ``least``; score is that mean times ``freq``.
+
+    cells(table_id, col_idx, value), empty ones left out, count as often as they stand in the column; values(table_id, col_idx, p, value, freq)
+    hold each value of a predicate. A value meets the cells of its own kind only; without such cells it counts for nothing. Texts are paired
+    per distinct text, the cells' side dealt to SALTS tasks."""
+    own = _kinds(cells.where("value <> ''").groupBy(*COLUMN, "value").agg(F.count(F.lit(1)).alias("n")), "value")
+    asked = _kinds(values.where("value <> ''"), "value")
+    told = own.where("kind <> 'text'").groupBy(*COLUMN, "kind", "x").agg(F.sum("n").alias("n"))
+    number = asked.where("kind <> 'text'")
+    counted = number.join(_number_means(told, number), [*COLUMN, "kind", "x"]).select(*COLUMN, "p", "freq", "mean")
+    texts = own.where("kind = 'text'").select(*COLUMN, F.col("value").alias("cell"), "n", F.pmod(F.xxhash64("value"), F.lit(SALTS)).alias("salt"))
+    words = asked.where("kind = 'text'").select(*COLUMN, "value").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    like = texts.join(words, [*COLUMN, "salt"]).select(*COLUMN, "value", "n", (text_similarity(F.col("cell"), F.col("value")) * F.col("n")).alias("sim"))
+    means = like.groupBy(*COLUMN, "value").agg((F.sum("sim") / F.sum("n")).alias("mean"))
+    spelt = asked.where("kind = 'text'").join(means, [*COLUMN, "value"]).select(*COLUMN, "p", "freq", "mean")
+    best = counted.unionByName(spelt).groupBy(*COLUMN, "p", "freq").agg(F.max("mean").alias("mean"))
+    return best.where(F.col("mean") > least).select(*COLUMN, "p", (F.col("mean") * F.col("freq")).alias("score"))
+
+
+def entity_values(subjects: DataFrame, objects: DataFrame, triples: DataFrame, label: str, ontology: str) -> DataFrame:
+    """(table_id, col_idx, p, value, freq): names of what the graph has between a table's subject entities and a column's entities.
+
+    subjects(table_id, s), objects(table_id, col_idx, o); freq counts the predicate's triples, each value stands once."""
+    graph = triples.where(F.col("p").startswith(ontology) & (F.col("o_kind") == "uri")).select("s", "p", "o").distinct()
+    met = graph.join(subjects.distinct(), "s").join(objects.distinct(), ["table_id", "o"])
+    names = triples.where((F.col("p") == label) & (F.coalesce("o_lang", F.lit("en")) == "en")).groupBy(F.col("s").alias("o")).agg(F.min("o").alias("value"))
+    return _with_frequency(met.join(names, "o"))
+
+
+def literal_values(subjects: DataFrame, columns: DataFrame, triples: DataFrame, ontology: str) -> DataFrame:
+    """(table_id, col_idx, p, value, freq): what the graph says in literals on a table's subject entities, for each of columns(table_id, col_idx)."""
+    graph = triples.where(F.col("p").startswith(ontology) & (F.col("o_kind") == "literal") & (F.coalesce("o_lang", F.lit("en")) == "en")).select("s", "p", F.col("o").alias("value"), F.col("o").alias("o")).distinct()
+    met = graph.join(subjects.distinct(), "s").join(columns.select(*COLUMN).distinct(), "table_id")
+    return _with_frequency(met)
+
+
+def _with_frequency(met: DataFrame) -> DataFrame:
+    each = met.groupBy(*COLUMN, "p", "value").agg(F.count(F.lit(1)).alias("n"))
+    return each.withColumn("freq", F.sum("n").over(Window.partitionBy(*COLUMN, "p"))).drop("n")

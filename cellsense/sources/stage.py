@@ -4,16 +4,35 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of tables between phases: ``spark.checkpoint.dir``, or one in the warehouse where that is unset. On a cluster, a folder of
+    one machine's own disk holds no such table, so there ``spark.checkpoint.dir`` must be set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and warehouse.split(":", 1)[0] in ("file", warehouse):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: the warehouse {warehouse} is a machine's own")
+    return f"{warehouse}/cellsense-scratch"
+
+
+def folder(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is written there goes when the session ends."""
+    path = f"{shared_root(spark)}/cellsense-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    return path
 
 
 def staged(df: DataFrame) -> DataFrame:
     """The frame written as Parquet and read again: the next phase's plan begins here, and what is lost with an executor is read, not worked
-    out anew. The table lies in ``spark.checkpoint.dir``, or in the warehouse where that is unset, until the session ends."""
+    out anew. The table lies in the shared folder until the session ends."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/cellsense-scratch"
-    path = f"{root.rstrip('/')}/cellsense-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    path = folder(spark)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

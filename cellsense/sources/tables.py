@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .stage import staged
+
 CELLS = "table_id string, row_idx long, col_idx int, header string, value_raw string"
 
 
@@ -202,12 +204,14 @@ def to_rows(cells: DataFrame, value: str = "value_raw", order: Column | None = N
 def row_numbers(df: DataFrame, table: str, key: str) -> DataFrame:
     """Row numbers from 0 by a key, for tables whose key isn't a number.
 
-    Rows are dealt by ranges of (table, key), numbered within each range, and moved on by the rows of the table's ranges before,
-    so a table of any size is numbered by many tasks. Rows with equal keys are numbered in any order."""
-    ranged = df.repartitionByRange(F.col(table), F.col(key)).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy(table, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    Rows are dealt by ranges of (table, key) and written with their range's number, so they are dealt once however often they are read; they are
+    numbered within each range, and moved on by the rows of the table's ranges before. So a table of any size is numbered by many tasks.
+    Rows with equal keys are numbered by the hash of all their columns, rows that are alike in any order."""
+    dealt = staged(df.repartitionByRange(F.col(table), F.col(key)).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(table, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(table).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(F.col(table).alias("_table"), F.col("_part").alias("_at"), F.coalesce(before, F.lit(0)).alias("_start"))
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy(table, "_part").orderBy(key)) - 1)
+    tie = F.xxhash64(F.lit(0), *[F.col(c) for c, kind in df.dtypes if c not in (table, key) and "map" not in kind])
+    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy(table, "_part").orderBy(F.col(key), tie)) - 1)
     out = local.join(starts, F.col(table).eqNullSafe(F.col("_table")) & (F.col("_part") == F.col("_at")))
     return out.withColumn("row_idx", (F.col("_start") + F.col("_local")).cast("long")).drop("_part", "_at", "_table", "_start", "_local")

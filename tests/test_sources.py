@@ -143,6 +143,23 @@ def test_row_numbers_of_many_ranges(spark):
         assert [i for _, i in own] == list(range(len(own)))
 
 
+@pytest.mark.parametrize("parts,coalesce", [(4, "true"), (8, "false"), (64, "false"), (64, "true")])
+def test_row_numbers_of_many_rows_with_a_payload(spark, parts, coalesce):
+    n = 500_000
+    df = spark.range(n).selectExpr("if(id % 3 = 0, 'b', if(id % 1000 = 1, null, 'a')) as t", f"{n} - id as k", "repeat(cast(id as string), 12) as x", "array(id, id) as y").repartition(7)
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, v in zip(old, (str(parts), coalesce), strict=True):
+            spark.conf.set(c, v)
+        got = tables.row_numbers(df, "t", "k")
+        got.createOrReplaceTempView("numbered")
+        wrong = spark.sql("select count(*) n, count_if(row_idx <> want) wrong, count(x) xs from (select *, row_number() over (partition by t order by k) - 1 as want from numbered)").first()
+        assert tuple(wrong) == (n, 0, n)
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
 def test_csv_sink_quotes_all(spark, tmp_path):
     export.write_csv(spark.createDataFrame([("a", 1)], "x string, y int"), str(tmp_path / "c"))
     text = b"".join(p.read_bytes() for p in (tmp_path / "c").glob("part*"))
