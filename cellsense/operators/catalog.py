@@ -22,6 +22,44 @@ def search(tables: DataFrame, name: str | None = None, gs_type: str | None = Non
     return rows if name or gs_type or status else rows.offset(page * page_size).limit(page_size)
 
 
+def grams(c: Column, n: int = 3) -> Column:
+    """The distinct runs of ``n`` characters of a lower-cased text; none of a shorter one."""
+    low = F.lower(c)
+    return F.when(F.length(low) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substr(low, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def name_index(tables: DataFrame) -> DataFrame:
+    """(gram, table_id): every table under the three-character runs of its name; to be written once and read by ``search_names``."""
+    return tables.select(F.explode(grams(F.col("name"))).alias("gram"), "table_id")
+
+
+def search_names(tables: DataFrame, index: DataFrame, queries: DataFrame) -> DataFrame:
+    """(q, table_id, name) of tables whose name holds a query of queries(q), in any case: those that the index has under the query's rarest run are tested.
+    Queries of fewer than three characters have no run and are tested on every name."""
+    asked = queries.select("q", F.lower("q").alias("low")).where("q <> ''").distinct()
+    each = asked.select("q", F.explode(grams(F.col("q"))).alias("gram"))
+    counts = index.join(each.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = each.join(counts, "gram", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x")).where("x.n > 0").select("q", F.col("x.gram").alias("gram"))
+    met = index.join(rare, "gram").select("q", "table_id").join(tables.select("table_id", "name"), "table_id").withColumn("low", F.lower("q"))
+    short = asked.where(F.length("low") < 3)
+    few = tables.select("table_id", "name").join(short, F.contains(F.lower("name"), F.col("low"))) if not short.isEmpty() else None
+    out = met.where(F.contains(F.lower("name"), F.col("low"))).select("q", "table_id", "name")
+    return out if few is None else out.unionByName(few.select("q", "table_id", "name"))
+
+
+def in_page_order(tables: DataFrame, files: int) -> DataFrame:
+    """The catalogue dealt by ranges of its page order and sorted, to be written so: a page then lies in one file or two."""
+    return tables.repartitionByRange(files, "pub_date", "table_id").sortWithinPartitions("pub_date", "table_id")
+
+
+def page_after(tables: DataFrame, after: tuple | None = None, page_size: int = PAGE) -> DataFrame:
+    """The page behind the row (pub_date, table_id) that was shown last, however far that is: files and row groups before it aren't read."""
+    if after is not None:
+        day, last = F.lit(after[0]), F.lit(after[1])
+        tables = tables.where((F.col("pub_date") >= day) & ((F.col("pub_date") > day) | (F.col("table_id") > last)))
+    return tables.orderBy("pub_date", "table_id").limit(page_size)
+
+
 def status_counts(tables: DataFrame) -> DataFrame:
     return tables.groupBy("global_status").agg(F.count(F.lit(1)).alias("n"))
 

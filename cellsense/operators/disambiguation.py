@@ -74,7 +74,8 @@ def entity_words(entities: DataFrame, triples: DataFrame, words: DataFrame) -> D
 def disambiguate(cells: DataFrame, found: DataFrame, triples: DataFrame) -> DataFrame:
     """(cell key, value, entity, alias, edit, row_score, cell_score, final, winning): every candidate of every cell with its scores.
 
-    cells(cell key, header, value, value_original) hold all columns of the tables; found(value, entity, alias). The row's score counts the entity's words of
+    cells(cell key, header, value, value_original) hold all columns of the tables; found(value, entity, alias), where they
+    hold for some columns only with table_id and col_idx. The row's score counts the entity's words of
     which a form stands in the headers, and those of which one stands in the row's other cells; the cell's score counts the words that the
     cell shares with the entity's name and with its words. Both are over the largest among the cell's candidates (at least 1); ``final`` is their sum
     less twice the edit distance to the name or alias, whichever is nearer. The highest wins, the first by code point among equals."""
@@ -89,7 +90,7 @@ def disambiguate(cells: DataFrame, found: DataFrame, triples: DataFrame) -> Data
     other = F.array_distinct(F.flatten(F.transform(F.filter("_row", lambda x: x.col_idx != F.col("col_idx")), lambda x: x.told)))
     placed = placed.withColumn("_row", row).withColumn("row", other).drop("_row", "told").join(of_table, "table_id", "left")
     bags = staged(entity_words(found, triples, words))
-    both = placed.join(found, "value").join(bags, "entity")
+    both = placed.join(found, [c for c in ("table_id", "col_idx", "value") if c in found.columns]).join(bags, "entity")
     hits = lambda told: F.size(F.filter("near", lambda f: F.arrays_overlap(f, F.coalesce(F.col(told), none))))
     own = F.coalesce("ids", none)
     name = F.trim(F.when(is_person(F.col("value_original")), X.initial_name(X.entity_name(F.col("entity")))).otherwise(X.entity_name(F.col("entity"))))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import edit_distance
 from ..operators import concepts, disambiguation, linking, relations
 from ..sources import triples as T
 from ..sources.stage import staged
+from ..sources.versions import Versions
 
 #: A label that a value looks up counts for its classes up to this edit distance.
 NEAR = 0.2
@@ -66,3 +67,45 @@ def predicate_phase(cells: DataFrame, columns: DataFrame, subjects: DataFrame, w
     values = relations.entity_values(own, objects, triples, label, ontology).unionByName(relations.literal_values(own, placed.where("col_class = 'LIT'"), triples, ontology))
     scored = relations.typed_similarity(cells.select("table_id", "col_idx", "value"), staged(values))
     return relations.winning_predicate(scored).join(subjects, "table_id").select("table_id", "subject_col", "col_idx", "p", "score")
+
+
+#: What the memo of linking knows a value by.
+VALUE = ["table_id", "col_idx", "value"]
+
+
+def linking_phase(cells: DataFrame, columns: DataFrame, triples: DataFrame, label: str, redirect: str, type_: str, person: str, memo: Versions | None = None) -> tuple[DataFrame, int]:
+    """((cell key, value, entity) of every linked cell, number of values that were looked up).
+
+    cells(cell key, header, value, value_original) hold all columns; columns(table_id, col_idx, type) the entity columns with the address of their class, or
+    null. A value of a column is linked once, where it stands first, to the best candidate of the column's class; its other cells follow. A value
+    without a candidate is remembered as such. With ``memo``, values that an earlier run has linked (or failed to link) are taken from it, and what is new is
+    appended to it as one version."""
+    cells = staged(cells.select(*linking.CELL, "header", "value", "value_original"))
+    named = cells.join(columns.select("table_id", "col_idx").distinct(), ["table_id", "col_idx"], "left_semi").where("value <> ''")
+    first = named.groupBy(*VALUE).agg(F.min("row_idx").alias("row_idx"))
+    known = memo.history() if memo is not None else None
+    new = staged(first if known is None else first.join(known.select(*VALUE), VALUE, "left_anti"))
+    n = new.count()
+    if n:
+        asked = named.join(new.select(*linking.CELL), linking.CELL, "left_semi")
+        found = disambiguation.found_by_text(asked.select("value", "value_original"), triples, label, redirect, type_, person)
+        kinds = triples.where(F.col("p") == type_).select(F.col("s").alias("entity"), F.col("o").alias("type")).distinct()
+        wanted = asked.select("table_id", "col_idx", "value").distinct().join(columns.select("table_id", "col_idx", "type").distinct(), ["table_id", "col_idx"])
+        fit = staged(found.join(wanted, "value").join(kinds, ["entity", "type"], "left_semi").unionByName(found.join(wanted.where("type is null"), "value").select("entity", "type", "value", "alias", "table_id", "col_idx")))
+        # context comes from whole rows, so rows of the asked cells are scored, and then only the asked cells stay
+        rows = cells.join(asked.select(*linking.ROW).distinct(), linking.ROW, "left_semi")
+        scored = disambiguation.disambiguate(rows, fit.select(*VALUE, "entity", "alias").distinct(), triples).join(new.select(*linking.CELL), linking.CELL, "left_semi")
+        fresh = new.select(*VALUE).join(_best(scored), VALUE, "left")
+        if memo is not None:
+            memo.publish(fresh)
+            known = memo.history()
+        else:
+            known = staged(fresh)
+    linked = named.join(known.select(*VALUE, "entity"), VALUE) if known is not None else named.withColumn("entity", F.lit(None).cast("string"))
+    return linked.where("entity is not null").select(*linking.CELL, "value", "entity"), n
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    """(VALUE, entity): the highest final score, the first by code point among equals."""
+    w = Window.partitionBy(*VALUE).orderBy(F.desc(F.round("final", 12)), "entity")
+    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*VALUE, "entity")
