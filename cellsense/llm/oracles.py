@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .collocations import COVER, LEAST, SCALE, TOP
 from .mixing import WORD
-from .quality_rules import CLASSES, GUARD_CHARS, GUARD_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, WORD_ALLOWANCE, WORDS
+from .quality_rules import CLASSES, GUARD_CHARS, GUARD_WORDS, LEAST_DOCS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, WORD_ALLOWANCE, WORDS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,26 +45,28 @@ _COUNT["mark"] = f"(length(t) - {' - '.join(_COUNT.values())})"
 _COMMON = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in WORDS) + "]"
 
 
-def _distance(bins: str, refs: str) -> str:
-    """Jensen-Shannon distance of doc bins(id, k, n) to refs(lang, k, q), the smallest of all languages."""
+def _distance(bins: str, sums: str) -> str:
+    """Jensen-Shannon distance of doc bins(id, k, n) to the languages' sums(lang, k, n) that the document may use(id, lang, own), its own counts left out; the smallest of all languages."""
     return f"""(SELECT id, min(sqrt(least(greatest(s / 2, 0), 1))) AS d FROM (SELECT id, lang, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) AS s
- FROM (SELECT i.id, f.lang, f.k, f.q, coalesce(b.n, 0) / greatest(i.total, 1) AS p FROM (SELECT id, sum(n) AS total FROM {bins} GROUP BY id) i CROSS JOIN {refs} f LEFT JOIN {bins} b ON b.id = i.id AND b.k = f.k) GROUP BY id, lang) GROUP BY id)"""
+ FROM (SELECT i.id, f.lang, f.k, (f.n - CASE WHEN u.own THEN coalesce(b.n, 0) ELSE 0 END) / greatest(f.total - CASE WHEN u.own THEN i.total ELSE 0 END, 1) AS q, coalesce(b.n, 0) / greatest(i.total, 1) AS p
+  FROM (SELECT id, sum(n) AS total FROM {bins} GROUP BY id) i JOIN use u ON u.id = i.id JOIN (SELECT *, sum(n) OVER (PARTITION BY lang) AS total FROM {sums}) f ON f.lang = u.lang LEFT JOIN {bins} b ON b.id = i.id AND b.k = f.k) GROUP BY id, lang) GROUP BY id)"""
 
 
 RULES = f"""WITH b AS (SELECT doc_id AS id, lang, coalesce(text, '') AS t FROM documents), w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w FROM b),
  cb AS (SELECT id, unnest({list(CLASSES)}) AS k, unnest([{', '.join(_COUNT[k] for k in CLASSES)}]) AS n FROM b),
  u AS (SELECT id, coalesce(list_position({_COMMON}, trim(translate(x, '{_UPPER}', '{_LOWER}'), '.,;:!?')), 0) AS k FROM (SELECT id, unnest(w) AS x FROM w)),
  wb AS (SELECT id, k, count(*) AS n FROM u GROUP BY ALL), big AS (SELECT id, lang FROM w WHERE len(w) >= {GUARD_WORDS} AND lang IS NOT NULL),
- cs AS (SELECT lang, k, sum(n) AS n FROM cb JOIN big USING (id) GROUP BY ALL), cr AS (SELECT lang, k, n / sum(n) OVER (PARTITION BY lang) AS q FROM cs),
+ known AS (SELECT lang FROM big GROUP BY lang HAVING count(*) >= {LEAST_DOCS}), use AS (SELECT w.id, known.lang, len(w) >= {GUARD_WORDS} AND coalesce(w.lang = known.lang, false) AS own FROM w CROSS JOIN known),
+ cs AS (SELECT lang, k, sum(n) AS n FROM cb JOIN big USING (id) GROUP BY ALL),
  ws AS (SELECT lang, k, sum(n) AS n FROM wb JOIN big USING (id) GROUP BY ALL), wz AS (SELECT lang, k, coalesce(ws.n, 0) AS n FROM (SELECT DISTINCT lang FROM ws) CROSS JOIN (SELECT unnest(range(0, {len(WORDS)} + 1)) AS k) LEFT JOIN ws USING (lang, k)),
- wr AS (SELECT lang, k, n / sum(n) OVER (PARTITION BY lang) AS q FROM wz), cd AS {_distance("cb", "cr")}, wd AS {_distance("wb", "wr")},
+ cd AS {_distance("cb", "cs")}, wd AS {_distance("wb", "wz")},
  g AS (SELECT id, i, count(*) OVER (PARTITION BY id, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
  rep AS (SELECT id, count(DISTINCT j) AS n FROM (SELECT id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY id),
  z AS (SELECT w.id, len(w.w) AS n_words, CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, {_COUNT['symbol']} AS n_symbols, len(ln) - len(list_distinct(ln)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, cd.d AS c, wd.d AS v, length(t) AS chars
  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ln FROM w) w LEFT JOIN rep ON rep.id = w.id LEFT JOIN cd ON cd.id = w.id LEFT JOIN wd ON wd.id = w.id),
  y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM z)
  SELECT id AS doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN chars >= {GUARD_CHARS} THEN round(c, 6) END AS char_distance, CASE WHEN n_words >= {GUARD_WORDS} THEN round(v, 6) END AS word_distance,
- NOT base_failed AND NOT (chars >= {GUARD_CHARS} AND c > {MAX_CHAR_DISTANCE}) AND NOT (n_words >= {GUARD_WORDS} AND v > {MAX_WORD_DISTANCE} + {WORD_ALLOWANCE} / sqrt(n_words)) AS kept FROM y"""
+ NOT base_failed AND NOT coalesce(chars >= {GUARD_CHARS} AND c > {MAX_CHAR_DISTANCE}, false) AND NOT coalesce(n_words >= {GUARD_WORDS} AND v > {MAX_WORD_DISTANCE} + {WORD_ALLOWANCE} / sqrt(n_words), false) AS kept FROM y"""
 
 COLLOCATIONS = rf"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
  w AS (SELECT lang, regexp_extract_all(unnest(p), '[^\x20\x09]+') AS w FROM t),

@@ -63,6 +63,22 @@ def test_every_language_has_a_reference(spark, tmp_path):
     assert len(quality_rules.references(docs)) == 20 and quality_rules.keep(docs).where("lang >= 'l16'").count() == 8
 
 
+def test_a_mark_of_its_own_is_no_reference(spark, data, tmp_path):
+    """Junk of a language mark that no other document has is compared with the others' references, and its own counts are left out."""
+    rng = np.random.default_rng(9)
+    junk = [(10_000 + i, " ".join("".join(rng.choice(list("0123456789#%&|<>{}="), 9)) for _ in range(120)), f"x{i}") for i in range(50)]
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    both = docs.unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+    both.write.parquet(str(tmp_path / "documents.parquet"))
+    before, after = ({r.doc_id for r in quality_rules.judge(d).where("kept").collect()} for d in (docs, both))
+    assert after == before and not any(i >= 10_000 for i in after)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert compare.difference(spark, con, QUERIES["op6_quality_rules"], ORACLES["op6_quality_rules"], str(tmp_path)) == ""
+    alone = spark.createDataFrame(junk[:1], "doc_id long, text string, lang string")
+    assert [(r.kept, r.char_distance) for r in quality_rules.judge(alone).collect()] == [(True, None)]  # nothing to compare with
+
+
 def test_rules_without_a_language_column(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").drop("lang")
     kept = quality_rules.keep(docs)
