@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import STOPWORDS
-from ..operators import concepts, relations
+from ..operators import catalog, concepts, relations
 from ..sources import triples
+from ..sources.stage import folder, staged
+from ..sources.store import LabelIndex, TripleStore
+from ..sources.versions import Versions
 from . import phases
-from .queries import LABEL, ONTO, REDIRECT, TYPE, query, read
+from .queries import LABEL, ONTO, ORACLES, REDIRECT, TYPE, graph, query, read
 
 DBR = "http://dbpedia.org/resource/"
 _STOPS = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS) + "]"
@@ -72,7 +75,7 @@ def _name(uri: str) -> str:
     return f"lower(translate(substr({uri}, 29), '_', ' '))"
 
 
-@query(f"""WITH {_MAKERS}, hit AS (SELECT q.value, t.s FROM (SELECT DISTINCT value FROM cells WHERE col <> 1) q JOIN t ON t.p = '{LABEL}' AND t.o = q.value),
+_DISAMBIGUATED = f"""WITH {_MAKERS}, hit AS (SELECT q.value, t.s FROM (SELECT DISTINCT value FROM cells WHERE col <> 1) q JOIN t ON t.p = '{LABEL}' AND t.o = q.value),
  found AS (SELECT value, s AS entity, NULL AS alias FROM hit UNION SELECT hit.value, r.o, hit.s FROM hit JOIN t r ON r.s = hit.s AND r.p = '{REDIRECT}'),
  text AS (SELECT s AS entity, CASE WHEN kind = 'uri' THEN {_name("o")} ELSE lower(o) END AS x FROM t UNION ALL SELECT o, {_name("s")} FROM t WHERE kind = 'uri'),
  said AS (SELECT entity, list_distinct(flatten(list(list_filter(regexp_extract_all(x, '[a-z]+'), lambda w: length(w) > 1)))) AS ws FROM text WHERE entity IN (SELECT entity FROM found) GROUP BY entity),
@@ -83,7 +86,10 @@ def _name(uri: str) -> str:
   CAST(len(list_filter(sg, lambda w: list_contains(head, w) OR list_contains(head, {_plural("w")}))) + len(list_filter(sg, lambda w: list_contains(told, w) OR list_contains(told, {_plural("w")}))) AS INTEGER) AS row_score,
   CAST(len(list_intersect(cw, nw)) + len(list_intersect(cw, ws)) AS INTEGER) AS cell_score FROM sc),
  y AS (SELECT *, least(e1, coalesce(e2, e1)) AS edit, row_score / greatest(max(row_score) OVER w, 1) + cell_score / greatest(max(cell_score) OVER w, 1) - 2 * least(e1, coalesce(e2, e1)) AS final FROM z WINDOW w AS (PARTITION BY row, col))
- SELECT row AS row_idx, col AS col_idx, value, entity, alias, round(edit, 9) AS edit, row_score, cell_score, round(final, 9) AS final, row_number() OVER (PARTITION BY row, col ORDER BY round(final, 12) DESC, entity, alias NULLS FIRST) = 1 AS winning FROM y""")
+ SELECT row AS row_idx, col AS col_idx, value, entity, alias, round(edit, 9) AS edit, row_score, cell_score, round(final, 9) AS final, row_number() OVER (PARTITION BY row, col ORDER BY round(final, 12) DESC, entity, alias NULLS FIRST) = 1 AS winning FROM y"""
+
+
+@query(_DISAMBIGUATED)
 def disambiguated_cells(spark, d):
     """Every candidate of two entity columns, scored by the words of row, header, name and graph, with ties and aliases."""
     cells, columns = _makers(spark, d), spark.createDataFrame([("makers", 0), ("makers", 2)], "table_id string, col_idx int")
@@ -91,6 +97,70 @@ def disambiguated_cells(spark, d):
     return got.select("row_idx", "col_idx", "value", "entity", "alias", F.round("edit", 9).alias("edit"), "row_score", "cell_score", F.round("final", 9).alias("final"), "winning")
 
 
+@query(f"SELECT row_idx, col_idx, value, entity, CAST(0 AS BIGINT) AS looked_up FROM ({_DISAMBIGUATED}) WHERE winning")
+def linked_cells(spark, d):
+    """Two runs of linking over one memo: the second finds every value in it and looks up none."""
+    cells, g = _makers(spark, d), staged(_maker_graph(spark, d))
+    columns = spark.createDataFrame([("makers", 0, None), ("makers", 2, None)], "table_id string, col_idx int, type string")
+    memo = Versions(spark, folder(spark))
+    phases.linking_phase(cells, columns, g, LABEL, REDIRECT, TYPE, ONTO + "Person", memo)
+    linked, n = phases.linking_phase(cells, columns, g, LABEL, REDIRECT, TYPE, ONTO + "Person", memo)
+    return linked.select("row_idx", "col_idx", "value", "entity", F.lit(n).cast("long").alias("looked_up"))
+
+
+# ---- what is kept on disk --------------------------------------------------------------------------------------------
+
+
+@query(ORACLES["triple_patterns"])
+def stored_patterns(spark, d):
+    """Two hops over triples kept by subject: only what comes to them is shuffled."""
+    store = TripleStore.write(graph(spark, d), folder(spark))
+    hop = lambda p, s, o: store.by_subject.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
+    return hop(LABEL, "s", "label").join(hop(ONTO + "nation", "s", "n"), "s").join(hop(ONTO + "region", "n", "region"), "n").select("s", "label", "region")
+
+
+@query("""WITH l AS (SELECT 'part/' || p_partkey AS s, p_name || ' ' || p_type AS label FROM part), w AS (SELECT s, label, list_distinct(list_filter(regexp_extract_all(lower(label), '[0-9A-Za-z_]+'), lambda x: length(x) > 1)) AS w FROM l),
+ q AS (SELECT DISTINCT lower(p_type) AS q FROM part UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT p_name || ' ' || lower(p_type) FROM part),
+ z AS (SELECT q, s, label FROM (SELECT q, list_distinct(list_filter(regexp_extract_all(q, '[0-9A-Za-z_]+'), lambda x: length(x) > 1)) AS a FROM q) JOIN w ON list_has_all(w, a))
+ SELECT * FROM z QUALIFY dense_rank() OVER (PARTITION BY q ORDER BY length(s), s) <= 50""")
+def label_index_top50(spark, d):
+    """The first 50 labels of one-word and longer queries, from an index written in blocks."""
+    p = read(spark, d, "part")
+    index = LabelIndex.write(p.select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("s"), F.concat_ws(" ", "p_name", "p_type").alias("label")), folder(spark), block=64)
+    queries = p.select(F.lower("p_type").alias("q")).union(p.select("p_name")).union(p.select(F.concat_ws(" ", "p_name", F.lower("p_type")))).distinct()
+    return index.match(queries, k=50, block=64)
+
+
+@query("""SELECT q, p_partkey AS table_id, p_name AS name FROM part JOIN (SELECT DISTINCT substr(p_name, 3, 4) AS q FROM part UNION SELECT DISTINCT upper(substr(p_name, 1, 2)) FROM part) ON contains(lower(p_name), lower(q)) WHERE q <> ''""")
+def catalogue_name_search(spark, d):
+    """Names that hold a text anywhere, in any case, by their runs of three characters."""
+    p = read(spark, d, "part")
+    tables = p.select(F.col("p_partkey").alias("table_id"), F.col("p_name").alias("name"))
+    queries = p.select(F.substring("p_name", 3, 4).alias("q")).union(p.select(F.upper(F.substring("p_name", 1, 2)))).distinct()
+    return catalog.search_names(tables, staged(catalog.name_index(tables)), queries)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS table_id, o_orderdate AS pub_date FROM orders), m AS (SELECT max(pub_date) AS d FROM o WHERE pub_date < TIMESTAMP '1996-01-01'), a AS (SELECT d, max(table_id) AS k FROM o, m WHERE pub_date = d GROUP BY d)
+ SELECT table_id, pub_date FROM o, a WHERE (pub_date, table_id) > (d, k) ORDER BY pub_date, table_id LIMIT 25""")
+def catalogue_page(spark, d):
+    """The page behind a row that was shown last, read from a catalogue written in page order."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("table_id"), F.col("o_orderdate").alias("pub_date"))
+    kept = staged(catalog.in_page_order(o, 8))
+    last = kept.where("pub_date < '1996-01-01'").agg(F.max(F.struct("pub_date", "table_id")).alias("x")).select("x.*").first()
+    return catalog.page_after(kept, tuple(last) if last.pub_date is not None else None)
+
+
+@query("SELECT n_nationkey AS k, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS name FROM nation WHERE n_regionkey <> 0 UNION ALL SELECT s_suppkey + 1000, s_name FROM supplier")
+def catalogue_update(spark, d):
+    """A catalogue after changes, additions and removals, each a version that readers see whole."""
+    n, s = read(spark, d, "nation"), read(spark, d, "supplier")
+    v = Versions(spark, folder(spark))
+    v.publish(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")))
+    v.update(s.select((F.col("s_suppkey") + 1000).alias("k"), F.col("s_name").alias("name")), ["k"])
+    v.update(n.where("n_regionkey = 1").select(F.col("n_nationkey").alias("k"), F.concat(F.upper("n_name"), F.lit("!")).alias("name")), ["k"], removed=n.where("n_regionkey = 0").select(F.col("n_nationkey").alias("k")))
+    return v.latest()
+
+
 # ---- concepts --------------------------------------------------------------------------------------------------------
 #
 # Makers and their nations with types below two roots; the second column's header names a class, and labels look up classes.
