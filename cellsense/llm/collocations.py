@@ -201,7 +201,7 @@ def longer(numbered: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 def phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST, size: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, f) of all frequent phrases of one to ``longest`` words by their numbers; (lang, word, number, f) of the frequent words; (lang, n)."""
-    held = scratch.write(shards(docs, size))
+    held = scratch.dealt(shards(docs, size), "shard")  # the shards stay where they are; what is looked up for them comes to them
     each = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts"))).select("shard", "lang", (F.col("pos") + 1).alias("at"), F.col("col.words").alias("word"), F.col("col.counts").alias("c"))
     total = scratch.write(held.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
     # every shard has a word once, so a word's rows are at most the shards; its number is its least (shard, place)
@@ -210,12 +210,12 @@ def phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int
     known = scratch.write(each.withColumn("f", F.sum("c").over(word)).withColumn("number", F.min(place).over(word)).where(F.col("f") >= least).select("shard", "at", "number", "lang", F.when(F.col("number") == place, F.col("word")).alias("word"), "f"))
     words = scratch.write(known.where("word is not null").select("lang", "word", "number", "f"))
     local = scratch.write(known.groupBy("shard").agg(F.collect_list(F.struct("at", "number")).alias("local")))
-    numbered = held.select("shard", "ids").join(local, "shard")
+    numbered = held.select("shard", "ids").join(local.hint("shuffle_hash"), "shard")
     # and so a pair's
     f = F.sum("c").over(Window.partitionBy("w1", "w2"))
     found = scratch.write(pairs(numbered).withColumn("f", f).where(F.col("f") >= least).select("shard", "w1", "w2", "f", (F.row_number().over(Window.partitionBy("w1", "w2").orderBy("shard")) == 1).alias("first")))
     good = scratch.write(found.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("good")))
-    more = longer(numbered.join(good, "shard"), longest).groupBy("words").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+    more = longer(numbered.join(good.hint("shuffle_hash"), "shard"), longest).groupBy("words").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     two = found.where("first").select(F.array("w1", "w2").alias("words"), "f")
     return scratch.write(words.select(F.array("number").alias("words"), "f").unionByName(two).unionByName(more)), words, total
 

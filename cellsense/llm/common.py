@@ -38,14 +38,26 @@ class Scratch:
     What a returned frame reads is written by ``written`` instead: it goes when the session ends."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.tables = spark, [], []
 
     def write(self, df: DataFrame) -> DataFrame:
         out, path = _written(df)
         self.paths.append(path)
         return out
 
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """A table whose files are dealt by ``key`` as they are written, so that joins on it shuffle the other side only."""
+        name, path = f"cellsense_{uuid.uuid4().hex}", new_folder(self.spark)
+        self.paths.append(path)
+        self.tables.append(name)
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(parts, key).mode("overwrite").option("path", path).saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = []
         for path in self.paths:
             target, fs = _at(self.spark, path)
             fs.delete(target, True)
