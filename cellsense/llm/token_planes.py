@@ -47,7 +47,8 @@ AFTER = [" " + c for c in map(chr, range(0x3001)) if c.isspace()]
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-SPACE, STOPS = BYTE_CHARS[32], ".,;:!?"
+SPACE, STOPS = BYTE_CHARS[32], frozenset(".,;:!?")
+LATIN = {c: chr(c).encode().decode("latin-1").translate(BYTE_CHARS) for c in range(128, 0x250)}
 PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -94,8 +95,11 @@ class Ids(dict):
         if (out := self.old.get(word)) is not None:
             self[word] = out
             return out
-        if word.isascii() and word[:-1].isalpha() and self.last and (word[-1].isalpha() or word[-1] in STOPS):  # most words: letters, or letters and a stop
-            out = self.piece(SPACE + word) if word[-1].isalpha() else self.piece(SPACE + word[:-1]) + self.piece(word[-1])
+        core, stop = (word[:-1], word[-1]) if word[-1:] in STOPS else (word, "")
+        if core.isalpha() and max(core) <= self.last:  # most words: Latin letters, or letters and a stop
+            out = self.piece(SPACE + (core if core.isascii() else core.translate(LATIN)))
+            if stop:
+                out += self.piece(stop)
         elif max(text := " " + word) <= self.last:
             out = b"".join([self.piece(p.encode().decode("latin-1").translate(BYTE_CHARS)) for p in self.cut(text)])
         else:
