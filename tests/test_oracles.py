@@ -2,7 +2,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_points
-from cellsense.plans import annotated, cases  # noqa: F401 - they register their queries
+from cellsense.plans import annotated, phase_queries, whole_tables  # noqa: F401 - they register their queries
 from cellsense.plans.queries import ORACLES, QUERIES
 
 
