@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import candidates as Q
 from ..operators import catalog, concepts, export, linking
-from ..sources import lexicons, tables, triples
+from ..sources import lexicons, tables, triples, turtle_split
+from ..sources.stage import folder
+from ..sources.store import TripleStore
 from .pipeline import annotate
 from .queries import (
     GRAPH, KG, LABEL, METRIC_SQL, ONTO, REDIRECT, TYPE, cells, classified, graph, query, read, sql_cells,
@@ -62,6 +64,15 @@ def annotate_cta(spark, d):
     return _annotations(spark, d)["cta"]
 
 
+@query("SELECT * FROM (VALUES ('customers', 0::INTEGER, 'Customer'), ('customers', 1, 'Nation')) t(table_id, col_idx, class)")
+def annotate_cta_by_branch(spark, d):
+    """Classes by the branch of an ontology, over triples kept by subject."""
+    edges = spark.createDataFrame([("Agent", "Customer"), ("Agent", "Supplier"), ("Customer", "Twin"), ("Customer", "Double"), ("Place", "Nation"), ("Place", "Region")], "parent string, child string")
+    order = spark.createDataFrame([("Agent", 0), ("Place", 1)], "root string, rank int")
+    store = TripleStore.write(_web_graph(spark, d), folder(spark))
+    return annotate(_web_table(spark, d), store.by_subject, LABEL, REDIRECT, TYPE, ONTO, paths=concepts.ontology_paths(edges, order), order=order, kept=True)["cta"]
+
+
 @query(f"""WITH c AS (SELECT c_custkey AS k, c_acctbal AS b, CASE WHEN c_custkey % 7 = 0 THEN round(c_acctbal + 0.1, 2) ELSE c_acctbal END AS cell FROM customer)
  SELECT k AS row_idx, '{KG}customer/' || k AS s, '{ONTO}balance' AS p, b = cell AS exact FROM c WHERE abs(b - cell) < 0.2""")
 def literal_match_near(spark, d):
@@ -225,6 +236,24 @@ def turtle_read(spark, d):
     return triples.parse_turtle(text.select(F.lit("part").alias("file"), "value")).select("s", "p", "o", "o_kind")
 
 
+@query(NT_SQL)
+def turtle_split_read(spark, d):
+    """The whole graph written as Turtle and read again in splits."""
+    path = folder(spark)
+    export.turtle(graph(spark, d)).write.mode("overwrite").text(path)
+    return turtle_split.read_turtle_split(spark, path).select("s", "p", "o", "o_kind")
+
+
+@query("""SELECT 'r' || n_regionkey AS table_id, count(*) AS rows, true AS ok, NULL::VARCHAR AS reason FROM nation GROUP BY n_regionkey
+ UNION ALL SELECT 'empty', 0, false, 'no rows' UNION ALL SELECT 'latin', 1, true, 'not UTF-8' UNION ALL SELECT 'ragged', 2, true, '1 rows of another width'""")
+def directory_report(spark, d):
+    """Tables at hand as CSV files, converted, with the files that don't parse, or not quite, and why."""
+    n = read(spark, d, "nation").groupBy(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("table_id")).agg(F.concat(F.lit("name,key\n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", "n_name", "n_nationkey"))), "\n")).alias("text"))
+    files = n.select("table_id", F.encode("text", "UTF-8").alias("content"))
+    odd = spark.createDataFrame([("empty", b""), ("latin", "name,key\ncaf\xe9,1".encode("latin-1")), ("ragged", b"name,key\na,1\nb")], "table_id string, content binary")
+    return tables.conversion_report(files.unionByName(odd), folder(spark))
+
+
 @query("SELECT * FROM (VALUES ('st.', 'street'), ('ca', 'circa')) t(key, expansion)")
 def abbreviation_lines(spark, d):
     lines = spark.createDataFrame([("st.*street",), ("nothing",), ("ca*circa",)], "value string")

@@ -1,4 +1,5 @@
-"""The phases over all tables at once: each takes and gives frames, nothing runs until a result is asked for."""
+"""The phases over all tables at once. ``analyse`` gives frames that run when they are asked for; ``annotate`` runs its phases as it is called, since each
+writes a table that several later ones read."""
 
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ def analyse(cells: DataFrame, abbreviations: DataFrame | None = None, today: dat
 
 def annotate(
     cells: DataFrame, triples: DataFrame, label: str, redirect: str, type_: str, ontology: str = linking.ONTOLOGY,
-    abbreviations: DataFrame | None = None, paths: DataFrame | None = None, order: DataFrame | None = None,
+    abbreviations: DataFrame | None = None, paths: DataFrame | None = None, order: DataFrame | None = None, kept: bool = False,
 ) -> dict[str, DataFrame]:
     """From raw cells and a graph to the three annotations, besides what ``analyse`` gives:
 
@@ -35,12 +36,13 @@ def annotate(
     the winning subject. A column's class is that of the ontology's branch (``paths``, ``order``: see ``choose_branch``), or without an ontology the
     most frequent type of its entities, the first by code point among equals. Rows without a match stay without annotation.
 
-    Each phase's result is a table that the next ones read, as several of them need it.
+    Each phase's result is a table that the next ones read, as several of them need it. ``kept`` tells that the triples are a table already, such as
+    ``TripleStore.by_subject``, whose buckets the joins then use; else they are written first.
     """
     prepared = staged(prepare(cells, abbreviations))
     columns = staged(C.classify(C.values(prepared, "value", "cell_type")))
     out = {"cells": prepared, "columns": columns, "subjects": staged(C.subject_columns(columns))}
-    triples = staged(triples)
+    triples = triples if kept else staged(triples)
     subjects = out["subjects"].where("subject_col is not null").select("table_id", "subject_col")
     kinds = out["columns"].select("table_id", "col_idx", "col_class")
     placed = staged(out["cells"].join(subjects, "table_id").join(kinds, ["table_id", "col_idx"]).select(*linking.CELL, "subject_col", "col_class", "value", "value_original"))

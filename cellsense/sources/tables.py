@@ -99,7 +99,8 @@ def csv_rows(files: DataFrame, sep: str = ",", quote: str = '"', encoding: str =
         for b in batches:
             for name, content in zip(b.table_id, b.content, strict=True):
                 rows = [r for r in csv.reader(io.StringIO(mend(content.decode(encoding, "replace")), newline=""), delimiter=sep, quotechar=quote) if r]
-                yield pd.DataFrame({"table_id": name, "row_idx": range(len(rows)), "fields": rows})
+                if rows:
+                    yield pd.DataFrame({"table_id": name, "row_idx": range(len(rows)), "fields": rows})
 
     return files.mapInPandas(run, "table_id string, row_idx long, fields array<string>")
 
@@ -135,14 +136,31 @@ def mend_csv(rows: DataFrame, bad: list[str] = ()) -> DataFrame:
 
 
 def convert_directory(spark: SparkSession, path: str, out: str, bad: list[str] = ()) -> DataFrame:
-    """Convert all CSV files below ``path`` to JSON tables, one file of records per table; (table_id, rows, ok) by name."""
+    """Convert all CSV files below ``path`` to JSON tables, one folder of records per table; a report by name (see ``conversion_report``)."""
+    files = spark.read.format("binaryFile").load(path).select(_table_name(F.col("path")).alias("table_id"), "content")
+    return conversion_report(files, out, bad)
+
+
+def conversion_report(files: DataFrame, out: str, bad: list[str] = ()) -> DataFrame:
+    """(table_id, rows, ok, reason) of files(table_id, content) of CSV, whose records are written below ``out`` as JSON, one folder per table.
+
+    ``rows`` counts the records that were written, in the pass that writes them; ``ok`` tells whether there are any. ``reason`` tells what was wrong: bytes that
+    aren't UTF-8 (read with marks in their place), no rows, or rows of another width than most (filled up or cut)."""
     from ..functions.text import sanitize
 
-    cells = mend_csv(read_csv_strict(spark, path), bad).withColumn("header", sanitize("header")).withColumn("value_raw", sanitize("value_raw"))
+    spark = files.sparkSession
+    rows = staged(csv_rows(files))
+    cells = mend_csv(rows, bad).withColumn("header", sanitize("header")).withColumn("value_raw", sanitize("value_raw"))
     records = cells.groupBy("table_id", "row_idx").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "header", "value_raw"))), lambda x: F.struct(x.header, x.value_raw))).alias("record"))
     records.select("table_id", "row_idx", F.to_json("record").alias("value")).repartition("table_id").sortWithinPartitions("table_id", "row_idx").select("table_id", "value").write.mode("overwrite").partitionBy("table_id").text(out)
-    back = spark.read.text(out).select("table_id", F.from_json("value", "map<string,string>").isNotNull().alias("ok"))
-    return back.groupBy("table_id").agg(F.count(F.lit(1)).alias("rows"), F.every("ok").alias("ok")).orderBy("table_id")
+    written = spark.read.schema("value string, table_id string").text(out).groupBy("table_id").agg(F.count(F.lit(1)).alias("rows"))
+    width = modal_length(rows, ["table_id"], F.size("fields"))
+    other = rows.join(width, "table_id").where(F.size("fields") != F.col("width")).groupBy("table_id").agg(F.count(F.lit(1)).alias("other"))
+    valid = files.groupBy("table_id").agg(F.every(F.is_valid_utf8(F.col("content").cast("string"))).alias("valid"))
+    known = valid.join(written, "table_id", "left").join(other, "table_id", "left")
+    n = F.coalesce("rows", F.lit(0).cast("long"))
+    reason = F.when(~F.col("valid"), "not UTF-8").when(n == 0, "no rows").when(F.col("other").isNotNull(), F.concat(F.col("other").cast("string"), F.lit(" rows of another width")))
+    return known.select("table_id", n.alias("rows"), (n > 0).alias("ok"), reason.alias("reason")).orderBy("table_id")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -29,16 +29,20 @@ def _unescape(s: str) -> str:
     return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _PLAIN.get(m[3], m[3]), s) if "\\" in s else s
 
 
+class Failure(ValueError):
+    """A place where a text isn't Turtle."""
+
+
 class _Reader:
-    def __init__(self, text: str, scope: str, out: list):
-        self.text, self.scope, self.out, self.at = text, scope, out, 0
-        self.prefixes: dict[str, str] = {}
-        self.base, self.made = "", 0
+    def __init__(self, text: str, scope: str, out: list, prefixes: dict[str, str] | None = None, base: str = "", part: str = ""):
+        self.text, self.scope, self.out, self.at, self.part = text, scope, out, 0, part
+        self.prefixes: dict[str, str] = dict(prefixes or {})
+        self.base, self.made = base, 0
         self.kind = self.value = ""
         self.next()
 
     def fail(self, what: str):
-        raise ValueError(f"{self.scope}: {what} expected at character {self.at - len(self.value)}, found {self.value[:40]!r}")
+        raise Failure(f"{self.scope}: {what} expected at character {self.at - len(self.value)}, found {self.value[:40]!r}")
 
     def next(self) -> str:
         """Step to the next token; the value of the one before."""
@@ -77,7 +81,7 @@ class _Reader:
 
     def fresh(self) -> str:
         self.made += 1
-        return f"_:{self.scope}##{self.made}"
+        return f"_:{self.scope}##{self.part}{self.made}"
 
     def resource(self) -> tuple[str, str] | None:
         """(value, kind) of a node that may be a subject."""
@@ -175,3 +179,19 @@ def parse(text: str, scope: str = "", strict: bool = True) -> list[tuple]:
         if strict:
             raise
     return out
+
+
+def statements(text: str, scope: str, out: list[tuple], prefixes: dict[str, str], base: str, part: str) -> None:
+    """Append the triples of a part of a Turtle text; ``part`` keeps its nodes without a name apart from other parts'. Raises Failure."""
+    _Reader(text, scope, out, prefixes, base, part).document()
+
+
+def state_after(text: str, prefixes: dict[str, str], base: str) -> tuple[dict[str, str], str]:
+    """The prefixes and the base behind a part of a Turtle text, as far as it can be read."""
+    reader = None
+    try:
+        reader = _Reader(text, "", [], prefixes, base)
+        reader.document()
+    except Failure:
+        pass
+    return (reader.prefixes, reader.base) if reader else (prefixes, base)

@@ -34,7 +34,7 @@ def test_single_header_and_short_header(spark):
 def test_directory_is_converted(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "t.csv").write_text("a,b\n1,é\n")
-    assert [tuple(r) for r in tables.convert_directory(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()] == [("t", 1, True)]
+    assert [tuple(r) for r in tables.convert_directory(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()] == [("t", 1, True, None)]
 
 
 def test_turtle_lines_and_exports_round_trip(spark, tmp_path):
