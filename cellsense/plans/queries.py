@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import celltypes as T
 from ..functions import similarity as S
 from ..functions import text as X
-from ..functions.lexicon import CURRENCIES, MONTHS, PUNCTUATION, STOPWORDS
+from ..functions.lexicon import CURRENCIES, IMAGE_EXTENSIONS, MONTHS, PUNCTUATION, STOPWORDS
 from ..operators import candidates as Q
 from ..operators import catalog, columns, concepts, evaluate, export, linking, prepare, relations
 from ..sources import tables, triples
@@ -111,15 +111,39 @@ def sql_types(v: str) -> dict[str, str]:
         "email": m(f"lower({v})", O_EMAIL),
         "address": f"({m(f'lower({v})', O_ADDRESS[0])} OR ({m(v, O_ADDRESS[1])} AND {m(v, '[0-9]$')}))",
         "hex_color": m(v, O_COLOR),
-        "ip": f"({m(v, T.IPV4)} OR {m(f'lower({v})', T.IPV6)})",
+        "ip": f"({_ip4(v)} OR {_ip6(f'lower({v})')})",
         "credit_card": f"(CASE WHEN {m(f"regexp_replace({v}, '\\s', '', 'g')", '^[0-9]+$')} THEN {luhn} ELSE false END)",
-        "image": m(v, T.IMAGE),
+        "image": f"list_bool_or(list_transform(regexp_split_to_array(lower({v}), '[?#]'), lambda p: contains(p, '.') AND string_split(p, '.')[-1] IN ({', '.join(lit(x) for x in IMAGE_EXTENSIONS)})))",
         "isbn": f"({_checked(bare10, 10)} OR {_checked(bare10, 13)})",
-        "iso8601": m(v, T.ISO8601),
+        "iso8601": _moment(v),
         "currency": f"(length({v}) < 15 AND {bare} IN ({', '.join(lit(x) for x in CURRENCIES)}))",
     }
 
 
+def _ip4(v: str) -> str:
+    """Four numbers up to 255 without leading zeros."""
+    part = "regexp_full_match(x, '[0-9]{1,3}') AND CAST(x AS INTEGER) <= 255 AND (x = '0' OR NOT starts_with(x, '0'))"
+    return f"(len(string_split({v}, '.')) = 4 AND CASE WHEN regexp_full_match({v}, '[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}') THEN list_bool_and(list_transform(string_split({v}, '.'), lambda x: {part})) ELSE false END)"
+
+
+def _ip6(v: str) -> str:
+    """Eight groups, or at most seven around one double colon."""
+    side = lambda i: f"split_part({v}, '::', {i})"
+    groups = lambda x: f"({x} = '' OR regexp_full_match({x}, '[0-9a-f]{{1,4}}(:[0-9a-f]{{1,4}})*'))"
+    count = lambda x: f"CASE WHEN {x} = '' THEN 0 ELSE len(string_split({x}, ':')) END"
+    short = f"len(string_split({v}, '::')) = 2 AND {groups(side(1))} AND {groups(side(2))} AND {count(side(1))} + {count(side(2))} <= 7"
+    return f"CASE WHEN contains({v}, '::') THEN {short} ELSE {groups(v)} AND len(string_split({v}, ':')) = 8 END"
+
+
+def _moment(v: str) -> str:
+    """A day and a time of it, by the range of every part."""
+    shape = "-?([0-9]{4,})-([0-9]{2})-([0-9]{2})T([0-9]{2}):([0-9]{2}):([0-9]{2})(?:[.][0-9]+)?(?:Z|[+-]([0-9]{2}):([0-9]{2}))?"
+    part = lambda i: f"regexp_extract({v}, '{shape}', {i})"
+    n = lambda i: f"coalesce(TRY_CAST({part(i)} AS INTEGER), 0)"
+    ranges = " AND ".join(f"{n(i)} BETWEEN {a} AND {b}" for i, a, b in ((2, 1, 12), (3, 1, 31), (4, 0, 23), (5, 0, 59), (6, 0, 59), (7, 0, 23), (8, 0, 59)))
+    return f"(regexp_full_match({v}, '{shape}') AND (length({part(1)}) = 4 OR NOT starts_with({part(1)}, '0')) AND {ranges})"
+
+
 def _checked(s: str, n: int) -> str:
     """An ISBN of n digits by its check sum."""
     shape = r"^\d{9}[\dXx]$" if n == 10 else r"^97[89]\d{10}$"
