@@ -36,7 +36,7 @@ from .batches import small
 from .common import short_batches
 
 #: Ids of a block; words kept at hand by a task (about 200 bytes each, in each of two generations); zstandard's level; id at the end of a document.
-BLOCK, CACHE, LEVEL, END_ID = 1 << 16, 500_000, 3, 0
+BLOCK, CACHE, LEVEL, END_ID = 1 << 16, 700_000, 1, 0
 
 #: A space within or at the end of a longer run of white space: such a text isn't cut into words. It needs a pair of AFTER, or a space at the end.
 RUN = re.compile(r"\s (?:\s|\Z)")
