@@ -35,3 +35,14 @@ def test_column_functions(spark):
     assert col(spark, "cities", X.singular) == "city" and col(spark, "city", X.plural) == "cities"
     assert col(spark, "Ã©\\u0041\x07 ’x’", X.sanitize).endswith("A 'x'")
     assert col(spark, ["a", "b", "a"], X.bag, "array<string>") == {"a": 2, "b": 1}
+
+
+def test_bag_of_a_long_text_takes_time_in_proportion(spark):
+    """60,000 words, all but one distinct: work in proportion to their square would take many minutes."""
+    import time
+
+    text = spark.range(1).select(F.concat(F.lit("w7 "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ")).alias("t"))
+    start = time.monotonic()
+    n, seven = text.select(X.bag(F.split("t", " ")).alias("b")).select(F.size("b"), F.col("b")["w7"]).first()
+    assert (n, seven) == (60_000, 2)
+    assert time.monotonic() - start < 60
