@@ -110,3 +110,32 @@ def test_pages_by_the_last_row(spark, tmp_path):
     assert seen == sorted((d, t) for t, d in rows)[:900]
     late = catalog.page_after(tables, ("2024-01-28", "t01900"), 50)
     assert "GreaterThanOrEqual(pub_date,2024-01-28)" in late._jdf.queryExecution().executedPlan().toString() and late.count() == 4
+
+
+def test_table_of_one_row_group_is_dealt(spark, tmp_path):
+    """A file of one row group is one task's; its rows are dealt to as many tasks as they fill, whatever the session's settings."""
+    from cellsense.sources.stage import ROWS, dealt
+
+    spark.range(3 * ROWS + 1).coalesce(1).write.parquet(f"{tmp_path}/t")
+    got = dealt(spark.read.parquet(f"{tmp_path}/t"), "id")
+    assert got.rdd.getNumPartitions() == 4 and got.distinct().count() == 3 * ROWS + 1
+    assert dealt(spark.range(5), "id").rdd.getNumPartitions() == spark.range(5).rdd.getNumPartitions()
+
+
+def test_triples_are_never_broadcast(spark, tmp_path):
+    """Small files of triples can stand for large tables: what is sent to all tasks is what was counted."""
+    rows = [(f"s{i}", p, o, k, None, None) for i in range(50) for p, o, k in (("label", f"Jane Doe{i}", "literal"), ("knows", f"s{i + 1}", "uri"))]
+    spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string, o_lang string").write.parquet(f"{tmp_path}/kg")
+    people = spark.createDataFrame([("j. doe7", "j", "doe7")], "q string, prefix string, surname string")
+    got = candidates.person_subgraph(people, spark.read.parquet(f"{tmp_path}/kg"), "label", "redirect")
+    lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    sent = [next(x for x in lines[i:] if "Scan" in x) for i, line in enumerate(lines) if "BroadcastExchange" in line]
+    assert sent and not any("p#" in x for x in sent)
+    assert {(r.s, r.p, r.o) for r in got.collect()} == {("s7", "label", "Jane Doe7"), ("s7", "knows", "s8"), ("s6", "knows", "s7")}
+
+
+def test_any_word_gives_each_label_once(spark):
+    labels = spark.createDataFrame([("a", "red blue"), ("a", "red blue"), ("b", "blue"), ("c", "green")], "s string, label string")
+    queries = spark.createDataFrame([("Blue red",), ("Blue red",), ("red red",)], "q string")
+    got = sorted(tuple(r) for r in candidates.text_match(queries, labels, any_word=True).collect())
+    assert got == [("Blue red", "a", "red blue"), ("Blue red", "b", "blue"), ("red red", "a", "red blue")]
