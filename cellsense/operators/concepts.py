@@ -50,20 +50,20 @@ def ontology_closure(edges: DataFrame) -> DataFrame:
     """(above, class, path): the shortest way from every class to each class below it over edges(parent, child), itself included; the first by code
     point among equally short ones. Cycles do no harm.
 
-    By doubling: ways of up to 2 ** k steps joined with each other give those of up to 2 ** (k + 1), so the rounds are the logarithm of the depth,
-    whatever that is; each round is a table, and the last one finds nothing shorter. A part of a shortest, first way is one itself, so nothing is lost
-    by keeping one way for each pair."""
+    By doubling: a way of more than 2 ** k steps and up to 2 ** (k + 1) is one of exactly 2 ** k steps and one of up to 2 ** k after it, so each is met
+    at one place only, and the rounds are the logarithm of the depth, whatever that is. Each round is a table; the last one has no way of exactly 2 ** k
+    steps. A part of a shortest, first way is one itself, so nothing is lost by keeping one way for each pair."""
     links = edges.select("parent", "child").where("parent is not null and child is not null and parent <> child").distinct()
     names = links.select(F.col("parent").alias("class")).union(links.select("child")).distinct()
     own = names.select(F.col("class").alias("above"), "class", F.array("class").alias("path"))
     first = F.min(F.struct(F.size("path").alias("n"), F.col("path")))
     ways = staged(own.unionByName(links.select(F.col("parent").alias("above"), F.col("child").alias("class"), F.array("parent", "child").alias("path"))))
-    total = -1
-    while (found := ways.agg(F.count(F.lit(1)), F.sum(F.size("path"))).first()) != total:
-        total = found
-        on = ways.select(F.col("above").alias("class"), F.col("class").alias("below"), F.slice("path", F.lit(2), F.size("path")).alias("rest"))
-        longer = ways.join(on, "class").select("above", F.col("below").alias("class"), F.concat("path", "rest").alias("path"))
-        ways = staged(longer.groupBy("above", "class").agg(first.alias("x")).select("above", "class", "x.path"))
+    steps = 1
+    while not (whole := ways.where(F.size("path") == steps + 1)).isEmpty():
+        on = ways.where(F.size("path") > 1).select(F.col("above").alias("class"), F.col("class").alias("below"), F.slice("path", F.lit(2), F.size("path")).alias("rest"))
+        longer = whole.join(on, "class").select("above", F.col("below").alias("class"), F.concat("path", "rest").alias("path"))
+        ways = staged(ways.unionByName(longer).groupBy("above", "class").agg(first.alias("x")).select("above", "class", "x.path"))
+        steps *= 2
     return ways
 
 

@@ -97,3 +97,15 @@ def test_predicates_of_entity_and_literal_columns(spark):
     winners = cells.where("col_idx < 2").select("table_id", "row_idx", "col_idx", F.concat(F.lit(DBR), F.when(F.col("col_idx") == 0, F.replace("value", F.lit("thing "), F.lit("E"))).otherwise(F.replace("value", F.lit("place "), F.lit("C")))).alias("entity"))
     got = {r.col_idx: r.p for r in phases.predicate_phase(cells, kinds, subjects, winners, g, LABEL, ONTO).collect()}
     assert got == {1: ONTO + "home", 2: ONTO + "size", 3: ONTO + "born"}
+
+
+def test_closure_meets_each_way_at_one_place(spark, monkeypatch):
+    """A chain of 40 classes with cycles and equally short ways: six rounds reach every way, and none is joined to find that nothing is left."""
+    tables, stage = [], concepts.staged
+    monkeypatch.setattr(concepts, "staged", lambda df: tables.append(1) or stage(df))
+    chain = [(f"c{i:02}", f"c{i + 1:02}") for i in range(40)]
+    edges = spark.createDataFrame([*chain, ("c40", "c00"), ("c00", "b"), ("b", "c02"), (None, "x"), ("y", "y")], "parent string, child string")
+    got = {(r.above, r["class"]): r.path for r in concepts.ontology_closure(edges).collect()}
+    assert len(got) == 42 * 42 and got["c00", "c02"] == ["c00", "b", "c02"] and got["c00", "c40"] == ["c00", "b", *[f"c{i:02}" for i in range(2, 41)]]
+    assert got["c03", "c01"][-2:] == ["c00", "c01"] and got["c05", "c05"] == ["c05"]
+    assert len(tables) == 7
