@@ -139,3 +139,21 @@ def test_any_word_gives_each_label_once(spark):
     queries = spark.createDataFrame([("Blue red",), ("Blue red",), ("red red",)], "q string")
     got = sorted(tuple(r) for r in candidates.text_match(queries, labels, any_word=True).collect())
     assert got == [("Blue red", "a", "red blue"), ("Blue red", "b", "blue"), ("red red", "a", "red blue")]
+
+
+def test_pairs_are_dealt_by_their_number_and_scored_once_for_alike_rows(spark, tmp_path):
+    """A block's pairs grow with its square, so do the tasks; rows of one text are one row of the scored table."""
+    import pandas as pd
+
+    from cellsense.plans import queries
+
+    rows = [(i, ("red ring", "hot bolt")[i % 2], "B", "T", 1, 900.0) for i in range(1_000)]
+    pd.DataFrame(rows, columns=["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]).to_parquet(f"{tmp_path}/part.parquet")
+    scored = queries.alike_pairs(spark, str(tmp_path), "p_name", lambda x, y: (x == y).cast("int"), "s").collect()
+    assert len(scored) == 4 and sum(len(r["as"]) * len(r["bs"]) for r in scored) == 1_000_000
+    got = queries.jaccard_pairs(spark, str(tmp_path))
+    assert got.count() == 1_000 * 999 // 2 and got.where("j = 1").count() == 2 * 500 * 499 // 2
+    top = {(r.a, r.b, r.edit) for r in queries.edit_distance_topk(spark, str(tmp_path)).where("a in (0, 995, 998, 999)").collect()}
+    assert {(a, b) for a, b, _ in top} == {(0, 2), (0, 4), (0, 6), (995, 997), (995, 999), (995, 996), (998, 999)}
+    plan = queries.winning_entity(spark, str(tmp_path)).where("row_idx in (700, 701)").collect()
+    assert {(r.row_idx, r.entity) for r in plan} == {(700, 0), (701, 1)}
