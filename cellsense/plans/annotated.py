@@ -12,7 +12,7 @@ from ..sources.stage import folder
 from ..sources.store import TripleStore
 from .pipeline import annotate
 from .queries import (
-    GRAPH, KG, LABEL, METRIC_SQL, ONTO, REDIRECT, TYPE, cells, classified, graph, query, read, sql_cells,
+    GRAPH, KG, LABEL, METRIC_SQL, ONTO, REDIRECT, TYPE, cells, classified, graph, query, ragged_rows, read, sql_cells,
 )
 
 # ---- one call from cells to annotations ------------------------------------------------------------------------------
@@ -213,9 +213,7 @@ def csv_tolerant(spark, d):
  SELECT t AS table_id, i - s AS row_idx, CAST(c AS INTEGER) AS col_idx, h[c + 1] AS header, coalesce(f[c + 1], '') AS value_raw FROM r JOIN u USING (t), unnest(range(0, w)) x(c) WHERE i >= s""")
 def csv_mended_cells(spark, d):
     """Every cell and header of ragged rows."""
-    rows = read(spark, d, "conversations").select(F.col("role").alias("table_id"), "conv_id", "turn", F.split("text", " ").alias("fields"))
-    rows = tables.row_numbers(rows.withColumn("k", F.struct("conv_id", "turn")), "table_id", "k").select("table_id", "row_idx", "fields")
-    return tables.mend_csv(rows)
+    return tables.mend_csv(ragged_rows(spark, d))
 
 
 NT_SQL = GRAPH + " SELECT s, p, o, o_kind FROM g"

@@ -157,3 +157,18 @@ def test_pairs_are_dealt_by_their_number_and_scored_once_for_alike_rows(spark, t
     assert {(a, b) for a, b, _ in top} == {(0, 2), (0, 4), (0, 6), (995, 997), (995, 999), (995, 996), (998, 999)}
     plan = queries.winning_entity(spark, str(tmp_path)).where("row_idx in (700, 701)").collect()
     assert {(r.row_idx, r.entity) for r in plan} == {(700, 0), (701, 1)}
+
+
+def test_rows_of_one_csv_table_are_many_tasks_work(spark, tmp_path):
+    """One table's rows are numbered, and made into cells, by as many tasks as they fill; none gets all of a table."""
+    import pandas as pd
+
+    from cellsense.plans import queries
+    from cellsense.sources import tables
+    from cellsense.sources.stage import ROWS
+
+    n = 3 * (ROWS // 10) + 1
+    pd.DataFrame({"conv_id": range(n), "turn": 0, "role": "user", "text": [f"w{i} x y" for i in range(n)]}).to_parquet(f"{tmp_path}/conversations.parquet")
+    got = tables.mend_csv(queries.ragged_rows(spark, str(tmp_path))).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.min("row_idx"), F.max("row_idx")).collect()
+    assert len(got) > 1 and sum(r.n for r in got) == 3 * (n - 1)
+    assert queries.csv_mending(spark, str(tmp_path)).first()[1:] == (3, n - 1)
