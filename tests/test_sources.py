@@ -189,3 +189,14 @@ def test_subject_first_and_log(spark):
     c = spark.createDataFrame([("t", 0, 0, "a"), ("t", 0, 1, "b")], "table_id string, row_idx long, col_idx int, value string")
     assert export.subject_first(c, spark.createDataFrame([("t", 1)], "table_id string, subject_col int")).first().row == ["b", "a"]
     assert spark.range(1).select(export.log_record("error", F.lit("x"), F.lit("t")).alias("l")).first().l.type == "error"
+
+
+def test_records_of_a_json_table_are_handed_on_in_chunks(monkeypatch):
+    """A large table is never one frame; what isn't an array to its end gives no rows."""
+    import pandas as pd
+
+    monkeypatch.setattr(tables, "CHUNK", 4)
+    texts = pd.DataFrame({"table_id": ["a", "b", "c", "d"], "value": [json.dumps([{"x": i, "y": None} for i in range(5)]), '[{"x": 1}, {"x"', "[]", '[{"x": 1}] [']})
+    got = list(tables._json_cells(iter([texts])))
+    assert max(map(len, got)) <= 5 and sum(len(f) for f in got) == 10
+    assert {(r.row_idx, r.value_raw) for f in got for r in f.itertuples() if r.header == "x"} == {(i, str(i)) for i in range(5)}
