@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import long_words
+from ..operators.prepare import small
+from .stage import staged, tasks_for
+from .tables import row_numbers
 
 #: Postings of a block of the label index.
 BLOCK = 256
@@ -81,17 +84,15 @@ class LabelIndex:
 
     @classmethod
     def write(cls, labels: DataFrame, path: str, buckets: int | None = None, block: int = BLOCK) -> LabelIndex:
-        """Index labels(s, label) at a path. A word's postings are numbered in parts (by the length of the address), so that a word that stands in
+        """Index labels(s, label) at a path. A word's postings are numbered in ranges of (length of the address, address, label), so that a word that stands in
         most labels isn't numbered by one task."""
         spark = labels.sparkSession
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         words = F.array_distinct(long_words(F.lower("label")))
         each = labels.select("s", "label").distinct().withColumn("words", words).select(F.length("s").alias("n"), "s", "label", "words", F.explode("words").alias("word"))
-        counts = each.groupBy("word", "n").agg(F.count(F.lit(1)).alias("k"))
-        before = F.sum("k").over(Window.partitionBy("word").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-        starts = counts.select("word", "n", F.coalesce(before, F.lit(0)).alias("start"), F.sum("k").over(Window.partitionBy("word")).alias("df"))
-        local = each.withColumn("i", F.row_number().over(Window.partitionBy("word", "n").orderBy("s", "label")) - 1)
-        placed = local.join(starts, ["word", "n"]).withColumn("block", F.floor((F.col("start") + F.col("i")) / block))
+        dealt = row_numbers(each.withColumn("at", F.struct("n", "s", "label")), "word", "at", tasks_for(each)).drop("at")
+        counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+        placed = dealt.join(small(staged(counts)), "word").withColumn("block", F.floor(F.col("row_idx") / block))
         posts = placed.groupBy("word", "block", "df").agg(F.array_sort(F.collect_list(F.struct("n", "s", "label", "words"))).alias("postings"))
         _bucketed(posts.select("word", "block", "df", "postings"), f"{path.rstrip('/')}/postings", ["word"], ["word", "block"], n)
         spark.createDataFrame([(str(n),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/buckets")
@@ -106,7 +107,7 @@ class LabelIndex:
         need = asked.select("q", "asked", F.explode("asked").alias("word"))
         df = self.table.where("block = 0").select("word", "df")
         known = df.hint("merge").join(need, "word").groupBy("q", "asked").agg(F.min(F.struct("df", "word")).alias("best"), F.count(F.lit(1)).alias("n"))
-        rarest = known.where(F.col("n") == F.size("asked")).select("q", "asked", F.col("best.word").alias("word"))
+        rarest = small(staged(known.where(F.col("n") == F.size("asked")).select("q", "asked", F.col("best.word").alias("word"))))
         hits = self.table.hint("merge").join(rarest, "word")
         rows = hits.select("q", "asked", F.inline("postings")).where(F.size(F.array_except("asked", "words")) == 0)
         if k is None:
