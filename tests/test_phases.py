@@ -109,3 +109,23 @@ def test_closure_meets_each_way_at_one_place(spark, monkeypatch):
     assert len(got) == 42 * 42 and got["c00", "c02"] == ["c00", "b", "c02"] and got["c00", "c40"] == ["c00", "b", *[f"c{i:02}" for i in range(2, 41)]]
     assert got["c03", "c01"][-2:] == ["c00", "c01"] and got["c05", "c05"] == ["c05"]
     assert len(tables) == 7
+
+
+def test_texts_meet_only_values_that_can_be_the_best(spark, monkeypatch):
+    """As all pairs, over persons, descriptions and other texts; of a thousand texts beside a date that is more like the column than they can be, none meets its cells."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdeé😀 -") for _ in range(n)).strip() or "a"
+    cells = [("t", c, x) for c, x in [(0, word(rng.randint(1, 14))) for _ in range(60)] + [(0, f"J. Maker{i}") for i in range(9)] + [(1, f"+{i}-01-{i % 28 + 1:02}") for i in range(10000, 10400)] + [(2, "goods of every house " * 5 + word(3)) for _ in range(9)]]
+    values = [("t", c, f"p{i % 3}", v, 2) for c, vs in enumerate(([word(rng.randint(1, 14)) for _ in range(60)] + ["Jane Maker3", "J"], [f"+{i}-01-{i % 28 + 1:02}" for i in range(10000, 11000)], ["EVERY HOUSE", "house of", "goods of every house " * 5])) for i, v in enumerate(vs)]
+    cells += [("t", 1, f"2001-01-{i:02}") for i in range(1, 29)]
+    values += [("t", 1, f"p{i}", "2001-01-14", 2) for i in range(3)] + [("t", 0, None, "ab", 2)] + [("t", 0, None, word(5), 2) for _ in range(40)]
+    cell_rows = spark.createDataFrame(cells, "table_id string, col_idx int, value string")
+    value_rows = spark.createDataFrame(values, "table_id string, col_idx int, p string, value string, freq long").distinct()
+    compared, means = [], relations._text_means
+    monkeypatch.setattr(relations, "_text_means", lambda texts, asked: compared.append(asked.where("col_idx = 1").count()) or means(texts, asked))
+    got = {(r.col_idx, r.p): r.score for r in relations.typed_similarity(cell_rows, value_rows, least=0.05).collect()}
+    pairs = cell_rows.withColumnRenamed("value", "cell").join(value_rows, ["table_id", "col_idx"]).withColumn("sim", relations.text_similarity(F.col("cell"), F.col("value")))
+    mean = pairs.groupBy("col_idx", "p", "value").agg(F.avg("sim").alias("mean"))
+    want = {(r.col_idx, r.p): 2 * r.best for r in mean.groupBy("col_idx", "p").agg(F.max("mean").alias("best")).where("best > 0.05").collect()}
+    assert {k for k in got if k[0] != 1} == {k for k in want if k[0] != 1} and len(got) > 6 and all(abs(got[k] - want[k]) < 1e-9 for k in want if k[0] != 1)
+    assert sum(compared) == 0 and all(got[1, f"p{i}"] > 1.9999 for i in range(3))
