@@ -9,8 +9,9 @@ What can't be frequent is left out before it is shuffled, and exactly so, since
    least place it has in any shard, so numbers need no table of their own);
 2. pairs of frequent words come from the suffix arrays of order two; each shard gets back its frequent pairs;
 3. longer phrases are looked for only where every pair is frequent.
-So what is shuffled is a row per distinct word or pair of a shard, never a row per occurrence; what goes back to a shard is part of what it has
-sent. Keys are global word numbers, so no hash can confuse two phrases; sums are 64-bit, products decimal.
+So what is shuffled is a row per distinct word or phrase of a shard, never a row per occurrence; what goes back to a shard is part of what it has
+sent. A shard's pairs and longer phrases, by far the most, go in order and packed, dealt to buckets by their words' numbers; a bucket holds at most about ``BUCKET`` of them,
+and the pairs that it sends back are packed as well. Keys are global word numbers, so no hash can confuse two phrases; sums are 64-bit, products decimal.
 
 Then every candidate is cut at each of its places, joined with the counts of both parts (which are frequent too), and dropped if a longer
 candidate that holds it is nearly as frequent. The best of each language are chosen in two steps, the first over buckets.
@@ -37,6 +38,8 @@ from .common import Scratch, short_batches, side, written
 #: Words that a task holds in open shards, about; longest phrase; least count; share (in hundredths) of a phrase's count that lets a longer one stand for it; phrases of a language; buckets of the first choice.
 SHARD, LONGEST, LEAST, COVER, TOP, BUCKETS = 3_000_000, 4, 30, 80, 2000, 32
 SCALE = 2_000_000
+#: Words of the corpus for each bucket that pairs and longer phrases are dealt to.
+BUCKET = 1_000_000
 
 #: A-Z lower-cased, every separator (.,;:!? and the line ends from x0A to x0D) a full stop.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"." * 9)
@@ -144,36 +147,96 @@ def _frequent(raw: bytes, local) -> tuple[np.ndarray, np.ndarray]:
     return new[ids], np.concatenate(([-1], number[order]))
 
 
-#: Rows of a batch that goes out.
-ROWS = 100_000
+def pack(*columns: np.ndarray) -> bytes:
+    """Whole numbers of which the first column never falls, as differences, by planes of their bytes: most planes are nearly all zeros."""
+    rows = np.stack([np.diff(columns[0], prepend=0), *columns[1:]]).astype("<i8")
+    return pa.compress(np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1, 8).transpose(0, 2, 1)), codec="zstd", asbytes=True)
 
 
-def pairs(numbered: DataFrame) -> DataFrame:
-    """(shard, w1, w2, c): each distinct pair of frequent words of a shard, by their numbers."""
+def unpack(data: bytes, n: int, columns: int) -> np.ndarray:
+    """The ``columns`` of ``n`` numbers each."""
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=columns * n * 8, codec="zstd"), dtype=np.uint8).reshape(columns, 8, n)
+    rows = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(columns, n)
+    return np.concatenate((np.cumsum(rows[:1], axis=1), rows[1:]))
+
+
+def _dealt(grams: np.ndarray, c: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Phrases of a shard, in order, and their counts: the buckets they are dealt to, the number of phrases of each, and these packed."""
+    mixed = np.zeros(len(c), dtype=np.uint64)
+    for w in grams.T:
+        mixed = (mixed ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    bucket = (mixed % np.uint64(buckets)).astype(np.int32)
+    by = np.argsort(bucket, kind="stable")
+    grams, c = grams[by], c[by]
+    names, starts = np.unique(bucket[by], return_index=True)
+    ends = np.append(starts[1:], len(by)).astype(int)
+    return names, ends - starts, [pack(*grams[x:y].T, c[x:y]) for x, y in zip(starts, ends, strict=True)]
+
+
+def _merged(table: pa.Table, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Packed phrases of ``k`` words in order: their words, the table's row that each comes from, where each distinct one starts, and its count."""
+    n = table.column("n").to_pylist()
+    *words, c = np.concatenate([unpack(data, x, k + 1) for data, x in zip(table.column("data").to_pylist(), n, strict=True)], axis=1)
+    order = np.lexsort(words[::-1])
+    words = [w[order] for w in words]
+    starts = np.flatnonzero(np.append(True, reduce(np.logical_or, [w[1:] != w[:-1] for w in words])))
+    return words, np.repeat(np.arange(len(n)), n)[order], starts, np.add.reduceat(c[order], starts)
+
+
+def pairs(numbered: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, shard, n, data): the distinct pairs of frequent words of a shard by their numbers, with their counts; ``n`` of them in order, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, number = _frequent(batch.column(1)[i].as_py(), batch.column(2)[i].values)
                 grams, c = intervals(ids, *suffix_array(ids, 2), 2)
-                shard = batch.column(0)[i].as_py()
-                for k in range(0, len(c), ROWS):
-                    g = number[grams[k : k + ROWS]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), shard)), pa.array(g[:, 0]), pa.array(g[:, 1]), pa.array(c[k : k + ROWS], pa.int64())], names=["shard", "w1", "w2", "c"])
-
-    return numbered.select("shard", "ids", "local").mapInArrow(run, "shard long, w1 long, w2 long, c long")
-
-
-def longer(numbered: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(words, c): each distinct phrase of three to ``longest`` words of a shard all of whose pairs are frequent;
-    numbered(shard, ids, local, good) with the shard's frequent pairs of numbers in ``good``."""
+                if not len(c):
+                    continue
+                names, n, data = _dealt(number[grams], c, buckets)
+                shard = np.full(len(names), batch.column(0)[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(shard), pa.array(n, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "shard", "n", "data"])
+
+    return numbered.select("shard", "ids", "local").mapInArrow(run, "bucket int, shard long, n int, data binary")
+
+
+def frequent_pairs(found: DataFrame, least: int) -> DataFrame:
+    """(w1, w2, f) of the pairs that all shards together have ``least`` times, and (shard, n, data) of each shard's among them, packed, in rows of their own."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard").to_pylist()
+        (w1, w2), at, starts, f = _merged(table, 2)
+        often = f >= least
+        first = starts[often]
+        keep = np.repeat(often, np.diff(np.append(starts, len(w1))))
+        one, two, at = w1[keep], w2[keep], at[keep]
+        by = np.argsort(at, kind="stable")
+        one, two, at = one[by], two[by], at[by]
+        ends = np.searchsorted(at, np.arange(len(shard) + 1))
+        own = [(k, ends[k], ends[k + 1]) for k in range(len(shard)) if ends[k] < ends[k + 1]]
+        p, q = len(first), len(own)
+        none = lambda k, kind: pa.nulls(k, kind)
+        columns = {
+            "w1": [pa.array(w1[first]), none(q, pa.int64())], "w2": [pa.array(w2[first]), none(q, pa.int64())], "f": [pa.array(f[often]), none(q, pa.int64())],
+            "shard": [none(p, pa.int64()), pa.array([shard[k] for k, _, _ in own], pa.int64())], "n": [none(p, pa.int32()), pa.array([y - x for _, x, y in own], pa.int32())],
+            "data": [none(p, pa.binary()), pa.array([pack(one[x:y], two[x:y]) for _, x, y in own], pa.binary())],
+        }
+        return pa.table({k: pa.chunked_array(v) for k, v in columns.items()})
+
+    return found.groupBy("bucket").applyInArrow(run, "w1 long, w2 long, f long, shard long, n int, data binary")
+
+
+def longer(numbered: DataFrame, buckets: int, longest: int = LONGEST) -> DataFrame:
+    """(bucket, k, n, data): the distinct phrases of three to ``longest`` words of a shard all of whose pairs are frequent; ``n`` of ``k`` words in order, packed;
+    numbered(shard, ids, local, good) with the shard's frequent pairs of numbers in ``good``, in packed parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, number = _frequent(batch.column(1)[i].as_py(), batch.column(2)[i].values)
-                good = batch.column(3)[i].values
-                a, b = (np.searchsorted(number, good.field(j).to_numpy()).astype(np.int64) for j in range(2))
+                good = np.concatenate([unpack(x["data"], x["n"], 2) for x in batch.column(3)[i].as_py()], axis=1)
+                a, b = (np.searchsorted(number, x).astype(np.int64) for x in good)
                 keys = np.sort(a * len(number) + b)
                 here = ids[:-1].astype(np.int64) * len(number) + ids[1:]
                 where = np.minimum(np.searchsorted(keys, here), len(keys) - 1)
@@ -191,12 +254,24 @@ def longer(numbered: DataFrame, longest: int = LONGEST) -> DataFrame:
                 order, lcp = suffix_array(runs, longest)
                 for size in range(3, longest + 1):
                     grams, c = intervals(runs, order, lcp, size)
-                    for k in range(0, len(c), ROWS):
-                        g = number[grams[k : k + ROWS]]
-                        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, g.size + 1, size), pa.int32()), pa.array(g.reshape(-1)))
-                        yield pa.RecordBatch.from_arrays([rows, pa.array(c[k : k + ROWS], pa.int64())], names=["words", "c"])
+                    if len(c):
+                        names, n, data = _dealt(number[grams], c, buckets)
+                        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), size, dtype=np.int32)), pa.array(n, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "k", "n", "data"])
+
+    return numbered.select("shard", "ids", "local", "good").mapInArrow(run, "bucket int, k int, n int, data binary")
+
+
+def frequent_phrases(found: DataFrame, least: int) -> DataFrame:
+    """(words, f) of the longer phrases that all shards together have ``least`` times."""
+
+    def run(table: pa.Table) -> pa.Table:
+        k = table.column("k")[0].as_py()
+        words, _, starts, f = _merged(table, k)
+        first = starts[f >= least]
+        rows = np.stack([w[first] for w in words], axis=1)
+        return pa.table({"words": pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, k), pa.int32()), pa.array(rows.reshape(-1))), "f": pa.array(f[f >= least])})
 
-    return numbered.select("shard", "ids", "local", "good").mapInArrow(run, "words array<long>, c long")
+    return found.groupBy("bucket", "k").applyInArrow(run, "words array<long>, f long")
 
 
 def phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST, size: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -211,12 +286,11 @@ def phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int
     words = scratch.write(known.where("word is not null").select("lang", "word", "number", "f"))
     local = scratch.write(known.groupBy("shard").agg(F.collect_list(F.struct("at", "number")).alias("local")))
     numbered = held.select("shard", "ids").join(local.hint("shuffle_hash"), "shard")
-    # and so a pair's
-    f = F.sum("c").over(Window.partitionBy("w1", "w2"))
-    found = scratch.write(pairs(numbered).withColumn("f", f).where(F.col("f") >= least).select("shard", "w1", "w2", "f", (F.row_number().over(Window.partitionBy("w1", "w2").orderBy("shard")) == 1).alias("first")))
-    good = scratch.write(found.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("good")))
-    more = longer(numbered.join(good.hint("shuffle_hash"), "shard"), longest).groupBy("words").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    two = found.where("first").select(F.array("w1", "w2").alias("words"), "f")
+    buckets = max(1, -(-(total.agg(F.sum("n")).first()[0] or 0) // BUCKET))
+    found = scratch.write(frequent_pairs(pairs(numbered, buckets), least))
+    good = scratch.write(found.where("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("n", "data")).alias("good")))
+    more = frequent_phrases(longer(numbered.join(good.hint("shuffle_hash"), "shard"), buckets, longest), least)
+    two = found.where("f is not null").select(F.array("w1", "w2").alias("words"), "f")
     return scratch.write(words.select(F.array("number").alias("words"), "f").unionByName(two).unionByName(more)), words, total
 
 

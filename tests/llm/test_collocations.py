@@ -70,3 +70,25 @@ def test_suffix_array_is_the_sorted_order(depth):
         for k in range(2, depth + 1):
             grams, c = C.intervals(ids, order, lcp, k)
             assert dict(zip(map(tuple, grams.tolist()), c.tolist(), strict=True)) == Counter(whole(i)[:k] for i in order if len(whole(i)) >= k)
+
+
+def test_pairs_go_packed_and_come_back_to_their_shards(spark):
+    """The frequent pairs of all shards and each shard's own; a row of the shuffle holds many pairs, in a third of the bytes that their numbers take."""
+    rng = np.random.default_rng(6)
+    shards_, rows = {}, []
+    for shard in (0, 1 << 41, 7 << 41):
+        number = np.sort(rng.choice(5000, 800, replace=False)) + (3 << 41)
+        ids = np.append(np.minimum(rng.zipf(1.3, 20_000), 800), 0).astype("<i4")
+        rows.append((shard, ids.tobytes(), [(k + 1, int(x)) for k, x in enumerate(number)]))
+        shards_[shard] = Counter(zip(number[ids[:-2] - 1].tolist(), number[ids[1:-1] - 1].tolist(), strict=True))
+    numbered = spark.createDataFrame(rows, "shard long, ids binary, local array<struct<at:int,number:long>>")
+    sent = C.pairs(numbered, 4).collect()
+    assert len(sent) == 12 and sum(r.n for r in sent) == sum(map(len, shards_.values())) and 3 * sum(len(r.data) for r in sent) < 24 * sum(r.n for r in sent)
+    got = C.frequent_pairs(C.pairs(numbered, 4), 30).collect()
+    whole = Counter()
+    for c in shards_.values():
+        whole.update(c)
+    often = {k: v for k, v in whole.items() if v >= 30}
+    assert {(r.w1, r.w2): r.f for r in got if r.f is not None} == often and len(often) > 50
+    back = [(r.shard, *pair) for r in got if r.shard is not None for pair in C.unpack(r.data, r.n, 2).T.tolist()]
+    assert sorted(back) == sorted((s, *k) for s, c in shards_.items() for k in c if k in often)
