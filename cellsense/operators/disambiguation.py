@@ -31,10 +31,13 @@ def found_by_text(values: DataFrame, triples: DataFrame, label: str, redirect: s
     labels = triples.where(F.col("p") == label).select("s", F.col("o").alias("label"))
     redirects = triples.where(F.col("p") == redirect).select(F.col("s").alias("s2"), F.col("o").alias("s"))
     exact = staged(Q.candidates(others, labels, redirects))
-    missed = others.where(F.size(F.split("q", r"\s+")) > 1).join(exact.select("q").distinct(), "q", "left_anti")
-    loose = Q.candidates(missed, labels, redirects, any_word=True)
-    named = Q.persons(people, triples, label, type_, person)
-    every = exact.unionByName(loose).unionByName(named)
+    missed = staged(others.where(F.size(F.split("q", r"\s+")) > 1).join(exact.select("q").distinct(), "q", "left_anti"))
+    every = exact
+    # the labels' words are dealt out only for texts that ask for them
+    if not missed.isEmpty():
+        every = every.unionByName(Q.candidates(missed, labels, redirects, any_word=True))
+    if not people.isEmpty():
+        every = every.unionByName(Q.persons(people, triples, label, type_, person))
     return every.select(F.col("q").alias("value"), F.col("s").alias("entity"), F.when(F.col("alias") != "None", F.col("alias")).alias("alias")).distinct()
 
 

@@ -19,7 +19,7 @@ def disambiguation_phase(cells: DataFrame, columns: DataFrame, triples: DataFram
     """Every candidate of every cell of the entity columns with its scores; ``winning`` marks one per cell (see ``disambiguate``).
 
     cells(cell key, header, value, value_original) hold all columns, as all of them are context; columns(table_id, col_idx) are the entity columns."""
-    cells = staged(cells.select(*linking.CELL, "header", "value", "value_original"))
+    cells, triples = staged(cells.select(*linking.CELL, "header", "value", "value_original")), staged(triples)
     named = cells.join(columns.select("table_id", "col_idx").distinct(), ["table_id", "col_idx"], "left_semi").where("value <> ''")
     found = staged(disambiguation.found_by_text(named.select("value", "value_original"), triples, label, redirect, type_, person))
     scored = disambiguation.disambiguate(cells, found, triples)

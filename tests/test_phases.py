@@ -129,3 +129,13 @@ def test_texts_meet_only_values_that_can_be_the_best(spark, monkeypatch):
     want = {(r.col_idx, r.p): 2 * r.best for r in mean.groupBy("col_idx", "p").agg(F.max("mean").alias("best")).where("best > 0.05").collect()}
     assert {k for k in got if k[0] != 1} == {k for k in want if k[0] != 1} and len(got) > 6 and all(abs(got[k] - want[k]) < 1e-9 for k in want if k[0] != 1)
     assert sum(compared) == 0 and all(got[1, f"p{i}"] > 1.9999 for i in range(3))
+
+
+def test_labels_are_dealt_only_for_texts_that_ask_for_them(spark, monkeypatch):
+    """Where all words of every text are found and no text is a person's, labels are looked through once; the others are looked for as before."""
+    asked, match = [], disambiguation.Q.text_match
+    monkeypatch.setattr(disambiguation.Q, "text_match", lambda queries, labels, any_word=False: asked.append(any_word) or match(queries, labels, any_word))
+    g = graph(spark, [(DBR + "Berlin", LABEL, "Berlin", "de"), (DBR + "Ada", LABEL, "Ada Lovelace", "en"), (DBR + "Ada", TYPE, ONTO + "Person", None)])
+    find = lambda *rows: {(r.value, r.entity) for r in disambiguation.found_by_text(spark.createDataFrame(rows, "value string, value_original string"), g, LABEL, REDIRECT, TYPE, ONTO + "Person").collect()}
+    assert find(("berlin", "Berlin")) == {("berlin", DBR + "Berlin")} and asked == [False]
+    assert find(("berlin wall", "Berlin Wall"), ("a lovelace", "A. Lovelace")) == {("berlin wall", DBR + "Berlin"), ("a lovelace", DBR + "Ada")} and asked == [False] * 2 + [True, False]
