@@ -159,6 +159,22 @@ def test_pairs_are_dealt_by_their_number_and_scored_once_for_alike_rows(spark, t
     assert {(r.row_idx, r.entity) for r in plan} == {(700, 0), (701, 1)}
 
 
+def test_parts_without_a_name_leave_no_near_part_out(spark, tmp_path):
+    """A part without a name has no distance, so it comes after all parts that have one, as in the SQL."""
+    import duckdb
+    import pandas as pd
+
+    from cellsense.plans import queries
+
+    names = ["red ring", None, None, None, "red ring", "red bolt"]
+    pd.DataFrame([(i, n, "B", "T", 1, 900.0) for i, n in enumerate(names)], columns=["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]).to_parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet')")
+    got = {(r.a, r.b, r.edit) for r in queries.edit_distance_topk(spark, str(tmp_path)).collect()}
+    assert {x for x in got if x[0] == 0} == {(0, 4, 0.0), (0, 5, 0.5), (0, 1, None)}
+    assert got == set(con.execute(queries.ORACLES["edit_distance_topk"]).fetchall())
+
+
 def test_rows_of_one_csv_table_are_many_tasks_work(spark, tmp_path):
     """One table's rows are numbered, and made into cells, by as many tasks as they fill; none gets all of a table."""
     import pandas as pd
